@@ -35,3 +35,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+
+
+def table_parts(df: DataFrame, text_col: str, part_bytes: int) -> int:
+    """A number of parts that grows with the measured bytes; the session's shuffle partitions at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-text_bytes(df, text_col) // part_bytes))

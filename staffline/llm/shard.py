@@ -38,7 +38,8 @@ def shard(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED, id_col: str =
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     packed = tagged.groupBy("__bucket").agg(F.collect_list(F.struct(*keep)).alias("__rows"))
-    mixed = packed.select("__bucket", F.shuffle("__rows", F.lit(seed)).alias("__rows"))
+    # sorted first: the order in which a bucket's blocks were fetched has no say
+    mixed = packed.select("__bucket", F.shuffle(F.array_sort("__rows"), F.lit(seed)).alias("__rows"))
     offsets = F.broadcast(offsets) if buckets <= MAX_BROADCAST else offsets
     placed = mixed.join(offsets, F.col("__bucket") == F.col("__b")).select("__offset", F.posexplode("__rows").alias("__pos", "__row"))
     at = placed.select((F.col("__offset") + F.col("__pos")).alias("__p"), "__row").withColumn("shard", F.expr(f"cast(__p * {n_shards}L div {max(1, n)}L as int)"))
