@@ -94,7 +94,7 @@ def format_chats(turns: DataFrame, template: Template = CHATML, conv_id: str = "
 
 def read_back(formatted: Column, template: Template = CHATML) -> Column:
     """The turns of a formatted conversation: array<struct<role, text>>, unescaped."""
-    parts = F.slice(F.split(formatted, "\\Q" + template.open + "\\E", -1), 2, 2**31 - 1)
+    parts = F.slice(F.split(formatted, "\\Q" + template.open + "\\E", -1), 2, 2**30)
     head = lambda p: F.substring_index(p, "\n", 1)
     rest = lambda p: F.substr(p, F.length(head(p)) + F.lit(2))
     body = lambda p: F.substr(rest(p), F.lit(1), F.length(rest(p)) - F.lit(len(template.close + template.end)))

@@ -9,7 +9,7 @@ distribution, so every word, unseen ones too, has a probability and they sum to
     P(w | h) = P(rest | h) * base(w) / base(rest)        for all other words
 
 Training: truncated backpropagation through `SPAN` words with Adagrad. First on the driver over a bounded sample of texts in
-seeded hash order (`WARM_TOKENS`), then once over one in `SHARE` of all training texts (which grows with the corpus): each task
+seeded hash order (`WARM_ROWS` texts of `WARM_BYTES` at most; small ones are read again up to `WARM_TOKENS` words), then once over one in `SHARE` of all training texts (which grows with the corpus): each task
 goes on from the driver's weights and the results are averaged by tokens. Scoring carries the state through a whole
 text in windows of `WINDOW` words, many texts side by side.
 
@@ -40,7 +40,8 @@ SYMBOLS = 2048  # with the end token
 CLASS = 64
 HIDDEN = 24
 TABLE = 1 << 20
-WARM_TOKENS = 600_000
+WARM_TOKENS = 1_200_000
+WARM_ROWS, WARM_BYTES = 4000, 1 << 14
 SHARE = 16
 LANES = 64
 SPAN = 16
@@ -275,9 +276,11 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
         return model, counted
     # texts of ordinary length, so that the sample's bound in rows is one in bytes as well
     size = F.octet_length("text")
-    some = texts.filter(size.between(1, 1 << 14)).orderBy("h").limit(WARM_TOKENS // 300).select("text").toArrow()
+    some = texts.filter(size.between(1, WARM_BYTES)).orderBy("h").limit(WARM_ROWS).select("text").toArrow()
     h, first = tokens(some.column("text"))
-    net.train(model.lookup(h)[1][:WARM_TOKENS], first)
+    if len(h):
+        for again in range(max(1, WARM_TOKENS // len(h))):  # small samples are read more than once
+            net.train(model.lookup(h)[1], first, RATE / (1 + again))
     model.weights = net.w
     bag = spark.sparkContext.broadcast(model)
 

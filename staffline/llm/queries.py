@@ -109,9 +109,9 @@ s AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h
   FROM w, unnest(range(1, greatest(1, len(ws) - 18))) AS u(i)),
 r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM s),
 g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS gone FROM r WHERE k > 1 GROUP BY doc_id),
-m AS (SELECT doc_id, map_from_entries(list_transform(gone, x -> (x, true))) AS gone FROM g),
+m AS (SELECT doc_id, map_from_entries(list_transform(gone, lambda x: (x, true))) AS gone FROM g),
 k AS (SELECT w.doc_id, ws, CASE WHEN gone IS NULL THEN ws
-  ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), z -> gone[z[2]] IS NULL), z -> z[1]) END AS kept
+  ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: gone[z[2]] IS NULL), lambda z: z[1]) END AS kept
   FROM w LEFT JOIN m ON w.doc_id = m.doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(kept) AS BIGINT) AS n_removed,
   sha256(array_to_string(kept, ' ')) AS kept_sha256

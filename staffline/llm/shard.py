@@ -1,7 +1,7 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only; the law is `rows`.
 
-Pass 1 scatters records into buckets by a seeded hash of the document id and of the partition that holds the record, so
-repeated ids spread as well; buckets are made small enough for a task's memory from the measured bytes. Pass 2
+Pass 1 scatters records into buckets by a seeded hash of the document id and of the record's place in the input, so
+repeated ids and rows spread as well, and writes the tagged records to the shared folder; buckets are made small enough for a task's memory from the measured bytes. Pass 2
 Fisher-Yates shuffles each bucket (Spark's shuffle()) with a seed of its own. Buckets in order, each in its shuffled
 order, give every record a global position p; with n records and s shards it goes to shard floor(p * s / n), whose
 slots count from 0 without gaps, and the sizes of two shards differ by one at most. A shard is a run of buckets, so it
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import stored
+
 SHARDS = 40
 SEED = 20240229
 BUCKET_BYTES = 16 << 20
@@ -31,9 +33,9 @@ def shard(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED, id_col: str =
     keep = [c for c in df.columns if c not in ("shard", "slot")]
     n, size = df.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(16))).first()
     buckets = max(MIN_BUCKETS * n_shards, -(-int(size or 0) // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.spark_partition_id()), F.lit(buckets)).cast("long")
-    tagged = df.select(*keep).withColumn("__bucket", bucket)
-    # the count pass reads the id column alone
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.monotonically_increasing_id()), F.lit(buckets)).cast("long")
+    # scattered once and written: both passes below see the same buckets whatever is lost or planned anew
+    tagged = stored(df.select(*keep).withColumn("__bucket", bucket), "scattered")
     counts = tagged.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
