@@ -190,10 +190,10 @@ def loop_rank(spark, sf):
 
 _LOOPS = VIEWS.replace("WITH setups", "WITH RECURSIVE setups") + """, d AS (SELECT obs_seq, from_pt AS a, to_pt AS b, CAST(height_diff AS DOUBLE) AS dh, CAST(distance AS DOUBLE) AS km FROM network
     UNION ALL SELECT obs_seq, to_pt, from_pt, -CAST(height_diff AS DOUBLE), CAST(distance AS DOUBLE) FROM network),
-  w AS (SELECT a AS start, b AS at, [b] AS pts, [obs_seq] AS seqs, dh, km FROM d WHERE b > a
-    UNION ALL SELECT start, d.b, list_append(pts, d.b), list_append(seqs, obs_seq), w.dh + d.dh, w.km + d.km FROM w JOIN d ON w.at = d.a
-    WHERE w.at <> start AND d.b >= start AND NOT list_contains(seqs, obs_seq) AND NOT list_contains(pts, d.b)),
-  o AS (SELECT list_sort(seqs) AS s, max(dh) AS dh, max(km) AS distance FROM w WHERE at = start AND len(seqs) >= 3 GROUP BY 1)
+  w AS (SELECT a AS start, b AS "at", [b] AS pts, [obs_seq] AS seqs, dh, km FROM d WHERE b > a
+    UNION ALL SELECT start, d.b, list_append(pts, d.b), list_append(seqs, obs_seq), w.dh + d.dh, w.km + d.km FROM w JOIN d ON w."at" = d.a
+    WHERE w."at" <> start AND d.b >= start AND NOT list_contains(seqs, obs_seq) AND NOT list_contains(pts, d.b)),
+  o AS (SELECT list_sort(seqs) AS s, max(dh) AS dh, max(km) AS distance FROM w WHERE w."at" = start AND len(seqs) >= 3 GROUP BY 1)
   SELECT array_to_string(s, ',') AS loop, CAST(len(s) AS INT) AS n_edges, round(dh * 1000, 6) + 0.0 AS misclosure_mm, distance, round(10 * sqrt(distance / 1000), 9) AS tolerance_mm,
     abs(round(dh * 1000, 6)) <= 10 * sqrt(distance / 1000) AS within FROM o"""
 
