@@ -37,7 +37,7 @@ from ._text import BLANKS, Runs, mix, slices, split_words
 WINDOW = 20
 GRAM = 8
 FILTER_BITS = 28
-SLICE = 16 << 20
+SLICE = 3 << 20
 REFERENCE_BYTES = 4 << 20
 _U = np.uint64
 _LAST = 2**63 - 1
