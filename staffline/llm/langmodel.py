@@ -46,9 +46,9 @@ SHARE = 16
 LANES = 64
 SPAN = 16
 RATE = 0.08
-WINDOW = 64
+WINDOW = 32
 SEED = 17
-SLICE = 8 << 20
+SLICE = 2 << 20
 END = np.uint64(0x5EED_E4D0_70CE_4E4D)
 _U = np.uint64
 
@@ -180,6 +180,7 @@ class Network:
                 h, _ = self.step(h[:m], own)
             lp, _ = self.log_probs(np.concatenate(states), np.concatenate(said))
             out[: len(states[0])] += np.bincount(np.concatenate(rows), lp, len(states[0]))
+            del states, rows, said, lp
         back = np.empty(len(order))
         back[order] = out
         return back
@@ -223,7 +224,7 @@ def _counted(docs: DataFrame, parts: int) -> DataFrame:
 
     def deal(batches):
         for batch in batches:
-            for t in slices(batch, "text", SLICE * 2):
+            for t in slices(batch, "text", SLICE * 4):
                 k, n = np.unique(tokens(t.column("text"))[0], return_counts=True)
                 some = _deal(k, parts)
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int32()), pa.array([k[i].tobytes() for _, i in some], pa.binary()), pa.array([n[i].astype(np.int64).tobytes() for _, i in some], pa.binary())], names=["part", "keys", "counts"])
