@@ -39,9 +39,9 @@ from ._text import BLANKS, mix, slices, split_words
 SYMBOLS = 2048  # with the end token
 CLASS = 64
 HIDDEN = 24
-TABLE = 1 << 20
+TABLE = 1 << 18
 WARM_TOKENS = 1_200_000
-WARM_ROWS, WARM_BYTES = 4000, 1 << 14
+WARM_ROWS, WARM_BYTES = 3000, 1 << 13
 SHARE = 16
 LANES = 64
 SPAN = 16
@@ -256,10 +256,11 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
                 i = np.lexsort((k, -n))[: max(1024, 2 * TABLE // parts)]
                 yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())], pa.int64()), pa.array([len(n)], pa.int64()), pa.array([k[i].tobytes()], pa.binary()), pa.array([n[i].tobytes()], pa.binary())], names=["n", "v", "keys", "counts"])
 
-    rows = counted.mapInArrow(top, "n long, v long, keys binary, counts binary").collect()
-    k = np.concatenate([np.zeros(0, _U), *(np.frombuffer(r.keys, _U) for r in rows)])
-    n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in rows)])
-    total = sum(r.n for r in rows)
+    rows = counted.mapInArrow(top, "n long, v long, keys binary, counts binary").toArrow()
+    unpack = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)
+    k, n = unpack("keys", _U), unpack("counts", np.int64)
+    total, distinct = (int(np.sum(rows.column(c).to_numpy())) for c in ("n", "v"))
+    del rows
     order = np.lexsort((k, -n))[:TABLE]
     k, n = k[order], n[order]
     ends = np.flatnonzero(k == END)
@@ -269,7 +270,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
     symbols = min(SYMBOLS, len(k))
     symbol = np.minimum(np.arange(len(k)), symbols)
     by_key = np.argsort(k)
-    model = Model(k[by_key], n[by_key], symbol[by_key], symbols, total, sum(r.v for r in rows), parts)
+    model = Model(k[by_key], n[by_key], symbol[by_key], symbols, total, distinct, parts)
     net = Network(symbols)
     net.start(n[:symbols], float(total - n[:symbols].sum()))
     model.weights = net.w
