@@ -7,7 +7,6 @@ numbers come from a handful of numpy passes, so no Python object is made per wor
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +36,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << log2
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _R)]), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _RINV)]), dtype=np.uint64)
-    return up, down
+_held: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(max(16, int(n).bit_length()))
-    return up[: n + 1], down[: n + 1]
+    """_R and its inverse to the powers 0 to n; one table a worker, grown as needed."""
+    if len(_held[0]) <= n:
+        size = -(-(n + 1) // (1 << 18)) << 18
+        for i, base in enumerate((_R, _RINV)):
+            x = np.full(size, base)
+            x[0] = 1
+            _held[i] = np.cumprod(x, dtype=np.uint64)
+    return _held[0][: n + 1], _held[1][: n + 1]
 
 
 def run_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ from ._text import _BYTE, powers, slices, string_buffers
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HASH_BYTES = 16
 MEAN_CHUNK = 2048
-STORE_BYTES = 48 << 20
+STORE_BYTES = 24 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _SEEN = np.zeros(256, bool)
