@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import regulations as R
 
-ALONG = Window.partitionBy("line_id").orderBy("setup_number").rowsBetween(Window.unboundedPreceding, 0)
-LINE = Window.partitionBy("line_id")
+def _line():
+    return Window.partitionBy("line_id")
+
+
+def _along():
+    return _line().orderBy("setup_number").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def line_totals(setups: DataFrame) -> DataFrame:
@@ -40,15 +44,15 @@ def distribute(setups: DataFrame, closures: DataFrame, method: str = "proportion
         raise ValueError(f"unknown distribution {method!r}")
     d = ((F.col("dist_back") + F.col("dist_fore")) / 2).cast("double")
     rows = setups.join(closures.select("line_id", "misclosure"), "line_id")
-    total = F.sum(d).over(LINE)
-    share = F.lit(1.0) / F.count(F.lit(1)).over(LINE) if method == "equal" else F.when(total == 0, F.lit(0.0)).otherwise(d / total)
+    total = F.sum(d).over(_line())
+    share = F.lit(1.0) / F.count(F.lit(1)).over(_line()) if method == "equal" else F.when(total == 0, F.lit(0.0)).otherwise(d / total)
     return rows.withColumn("correction", -F.col("misclosure") * share).drop("misclosure")
 
 
 def apply_corrections(corrected: DataFrame) -> DataFrame:
     """adjusted_dh and the running cumulative_height of each setup."""
     adj = corrected.withColumn("adjusted_dh", F.col("height_diff").cast("double") + F.col("correction"))
-    return adj.withColumn("cumulative_height", F.sum("adjusted_dh").over(ALONG))
+    return adj.withColumn("cumulative_height", F.sum("adjusted_dh").over(_along()))
 
 
 def line_adjust(setups: DataFrame, lines: DataFrame, benchmarks: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ def line_adjust(setups: DataFrame, lines: DataFrame, benchmarks: DataFrame) -> D
 def toggle_direction(lines: DataFrame, setups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines run the other way: ends, sights and order swapped, height differences negated."""
     turned = lines.select(*(c for c in lines.columns if c not in ("start_point", "end_point", "method")), F.col("end_point").alias("start_point"), F.col("start_point").alias("end_point"), F.when(F.col("method") == "BF", "FB").when(F.col("method") == "FB", "BF").otherwise(F.col("method")).alias("method"))
-    n = F.count(F.lit(1)).over(LINE)
+    n = F.count(F.lit(1)).over(_line())
     back = setups.select("line_id", (n - F.col("setup_number") + 1).cast("int").alias("setup_number"), F.col("foresight").alias("backsight"), F.col("backsight").alias("foresight"), F.col("dist_fore").alias("dist_back"), F.col("dist_back").alias("dist_fore"), (-F.col("height_diff")).alias("height_diff"))
     return turned, back
 
