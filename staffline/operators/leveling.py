@@ -142,3 +142,26 @@ def batch_summary(validated: DataFrame) -> DataFrame:
         bad("length_ok").alias("too_long"), bad("sights_ok").alias("long_sights"), bad("method_ok").alias("method_errors"), bad("balance_ok").alias("balance_errors"),
         F.coalesce(F.try_divide(F.count_if("valid").cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0)).alias("pass_rate"),
     )
+
+
+def intermediate_heights(adjusted: DataFrame) -> DataFrame:
+    """line_id, point, height of adjusted setups (to_point, height); a repeated point keeps its last height."""
+    return adjusted.groupBy("line_id", F.col("to_point").alias("point")).agg(F.max_by("height", "setup_number").alias("height"))
+
+
+def bf_pairs(pairs: DataFrame, tolerance_mm: float | None = None) -> DataFrame:
+    """Forward and backward differences (fwd, bwd in m): mean, signed difference in mm and its consistency."""
+    diff = F.round((F.col("fwd") + F.col("bwd")) * 1000, 6)
+    ok = F.lit(True) if tolerance_mm is None else F.abs(diff) <= tolerance_mm
+    return pairs.withColumns({"mean_dh": (F.col("fwd") - F.col("bwd")) / 2, "bf_diff": diff, "consistent": ok})
+
+
+def validation_table(validated: DataFrame, totals: DataFrame) -> DataFrame:
+    """Per line the first failure by priority and the distance in the table's unit: km if lines are over 1000 m on average."""
+    unit = totals.agg(F.when(F.avg("distance") > 1000, "km").otherwise("m").alias("unit"))
+    fails = [("endpoint", "endpoint_ok"), ("method", "method_ok"), ("incomplete", "complete"), ("length", "length_ok"), ("sights", "sights_ok"), ("balance", "balance_ok")]
+    first = F.lit("")
+    for name, c in reversed(fails):
+        first = F.when(~F.col(c), name).otherwise(first)
+    j = validated.join(totals.select("line_id", "distance", "height_diff"), "line_id", "left").crossJoin(F.broadcast(unit))  # one row
+    return j.select("line_id", "valid", first.alias("primary_failure"), F.when(F.col("unit") == "km", F.col("distance") / 1000).otherwise(F.col("distance")).alias("distance"), "unit", "height_diff")

@@ -126,3 +126,88 @@ def statistics(res: DataFrame) -> DataFrame:
     """n_obs, total km, sum of absolute residuals, k coefficient and its class."""
     s = res.agg(F.count(F.lit(1)).alias("n_obs"), F.sum("km").alias("total_km"), F.sum(F.abs("v_mm")).alias("total_mm"), F.avg("v_mm").alias("mean_mm"), F.stddev_pop("v_mm").alias("std_mm"))
     return s.withColumn("k", F.col("total_mm") / F.sqrt("total_km")).withColumn("k_class", R.network_class(F.col("k")))
+
+
+def network_summary(obs: DataFrame) -> DataFrame:
+    """One row: edges, points, components, loop rank, total distance (m)."""
+    return loop_rank(obs).crossJoin(obs.agg(F.sum("distance").cast("double").alias("total_distance")))  # one row each
+
+
+def spanning_paths(obs: DataFrame) -> DataFrame:
+    """point, component, path: the signed observations from the component's least point along a spanning tree.
+
+    Breadth first: in each round every open point takes the least observation that leads to it; a round is one join and
+    one aggregation, checkpointed. Rounds equal the depth of the widest component.
+    """
+    e = cut(edges(obs).filter("a <> b").select("obs_seq", "a", "b", "sign"))
+    comp = cut(components(obs))
+    tree = comp.filter("point = component").select("point", "component", F.array().cast("array<struct<obs_seq:bigint,sign:int>>").alias("path"))
+    front = tree
+    while True:
+        reach = front.join(e, F.col("point") == F.col("a")).join(tree.select(F.col("point").alias("seen")), F.col("b") == F.col("seen"), "left_anti")
+        step = F.min_by(F.struct("component", F.array_append("path", F.struct(F.col("obs_seq").cast("long").alias("obs_seq"), F.col("sign").cast("int").alias("sign"))).alias("path")), F.struct("obs_seq", "a")).alias("x")
+        front = cut(reach.groupBy(F.col("b").alias("point")).agg(step).select("point", "x.*"))
+        if front.isEmpty():
+            return tree
+        tree = cut(tree.unionByName(front))
+
+
+def basis_loops(obs: DataFrame) -> DataFrame:
+    """Independent loops, E - V + C of them: component, loop_id, obs_seq, sign. An observation outside the spanning tree closes
+    the loop that bears its number; the shared beginning of its ends' paths cancels out."""
+    t = spanning_paths(obs)
+    inside = t.select(F.explode("path").alias("x")).select(F.col("x.obs_seq").alias("obs_seq")).distinct()
+    rest = obs.filter("from_pt is not null and to_pt is not null").select(F.col("obs_seq").cast("long").alias("obs_seq"), "from_pt", "to_pt").join(inside, "obs_seq", "left_anti")
+    f = t.select(F.col("point").alias("from_pt"), "component", F.col("path").alias("pf"))
+    j = rest.join(f, "from_pt").join(t.select(F.col("point").alias("to_pt"), F.col("path").alias("pt")), "to_pt")
+    own = F.array(F.struct(F.col("obs_seq"), F.lit(1).alias("sign")))
+    back = F.transform(F.array_except("pt", "pf"), lambda x: F.struct(x["obs_seq"].alias("obs_seq"), (-x["sign"]).alias("sign")))
+    legs = F.concat(F.array_except("pf", "pt"), own, back)
+    return j.select("component", F.col("obs_seq").alias("loop_id"), F.explode(legs).alias("x")).select("component", "loop_id", "x.obs_seq", "x.sign")
+
+
+def loop_misclosure(obs: DataFrame, incidence: DataFrame, cls: int = 3) -> DataFrame:
+    """loop_id, n_edges, misclosure_mm (signed sum), distance, tolerance_mm, within, achieved_class."""
+    j = incidence.join(obs.select("obs_seq", F.col("height_diff").cast("double").alias("dh"), F.col("distance").cast("double").alias("m")), "obs_seq")
+    g = j.groupBy("loop_id").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum(F.col("sign") * F.col("dh")) * 1000, 6).alias("misclosure_mm"), F.sum("m").alias("distance"))
+    return g.withColumn("tolerance_mm", R.tolerance_new(F.col("distance"), F.lit(cls))).withColumn("within", F.abs("misclosure_mm") <= F.col("tolerance_mm")).withColumn("achieved_class", R.achieved_class(F.col("misclosure_mm"), F.col("distance")))
+
+
+def conditional(obs: DataFrame, incidence: DataFrame) -> DataFrame:
+    """Adjustment by conditions: obs_seq, component, v_mm, adjusted_dh, sigma0 of observations in loops.
+
+    B holds the loops' signs and P is 1 / km, so N = B P^-1 B' is a grouped sum over pairs of loops that share an observation; its correlates
+    are solved per component and v = P^-1 B' k is a join again. incidence: independent loops (see basis_loops).
+    """
+    km = F.when(F.col("distance") > 0, F.col("distance").cast("double") / 1000).otherwise(1.0)
+    i = cut(incidence.join(obs.select("obs_seq", F.col("height_diff").cast("double").alias("dh"), km.alias("km")), "obs_seq"))
+    one, two = (i.select("obs_seq", F.col("loop_id").alias(k), F.col("sign").alias(f"s{k}")) for k in ("p", "q"))
+    n = one.join(two, "obs_seq").join(i.groupBy("obs_seq").agg(F.first("km").alias("km"), F.min("component").alias("component")), "obs_seq")
+    n = n.groupBy("component", "p", "q").agg(F.sum(F.col("sp") * F.col("sq") * F.col("km")).alias("value"))
+    w = i.groupBy("component", "loop_id").agg(F.sum(F.col("sign") * F.col("dh")).alias("w"))
+    kind = dict(incidence.dtypes)["component"]
+
+    def solve(key, n: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(w.loop_id.to_numpy())
+        a = np.zeros((len(ids), len(ids)))
+        a[np.searchsorted(ids, n.p), np.searchsorted(ids, n.q)] = n.value
+        rhs = w.set_index("loop_id").w.loc[ids].to_numpy()
+        k = np.linalg.lstsq(a, -rhs, rcond=None)[0]
+        return pd.DataFrame({"loop_id": ids, "k": k, "sigma0": np.sqrt(max(float(-k @ rhs), 0.0) / len(ids))})
+
+    k = n.groupBy("component").cogroup(w.groupBy("component")).applyInPandas(solve, "loop_id long, k double, sigma0 double")
+    v = i.join(k, "loop_id").groupBy("obs_seq", "component").agg((F.first("km") * F.sum(F.col("sign") * F.col("k"))).alias("v"), F.first("dh").alias("dh"), F.first("sigma0").alias("sigma0"))
+    return v.select("obs_seq", F.col("component").cast(kind).alias("component"), (F.col("v") * 1000).alias("v_mm"), (F.col("dh") + F.col("v")).alias("adjusted_dh"), "sigma0")
+
+
+def residual_map(obs: DataFrame, res: DataFrame) -> DataFrame:
+    """key `from-to`, v_mm; of parallel observations the last one's."""
+    key = F.concat_ws("-", F.col("from_pt").cast("string"), F.col("to_pt").cast("string"))
+    return res.groupBy(key.alias("key")).agg(F.max_by("v_mm", "obs_seq").alias("v_mm"))
+
+
+def residual_histogram(res: DataFrame, bins: int = 20) -> DataFrame:
+    """bin (1 to bins), n of residuals between their least and greatest value."""
+    ends = res.agg(F.min("v_mm").alias("lo"), F.max("v_mm").alias("hi"))
+    b = F.when(F.col("hi") == F.col("lo"), 1).otherwise(F.least(F.lit(bins), F.floor((F.col("v_mm") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1))
+    return res.crossJoin(F.broadcast(ends)).groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # one row

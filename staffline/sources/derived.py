@@ -63,3 +63,14 @@ def network(spark: SparkSession, sf_dir: str) -> DataFrame:
         (((t - f) * 0.25).cast("decimal(12,5)") + (((f * 13 + t * 7) % 11 - 5) * 0.001).cast("decimal(12,5)")).cast("decimal(12,5)").alias("height_diff"),
         (F.lit(500) + (f * 31 + t * 17) % 40 * 50).cast("decimal(12,3)").alias("distance"),
     )
+
+
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """setups with path, method, from_point and to_point: the line's ends, in between the setup's number."""
+    s = setups(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("line_id")))
+    j = s.join(lines(spark, sf_dir).select("line_id", "start_point", "end_point", "method"), "line_id")
+    k = F.col("setup_number")
+    return j.select(
+        "line_id", F.concat(F.lit("/field/L"), F.col("line_id").cast("string"), F.lit(".DAT")).alias("path"), "method", "setup_number", "backsight", "foresight", "dist_back", "dist_fore", "height_diff",
+        F.when(k == 1, F.col("start_point")).otherwise((k - 1).cast("string")).alias("from_point"), F.when(k == F.col("n"), F.col("end_point")).otherwise(k.cast("string")).alias("to_point"),
+    )
