@@ -4,8 +4,12 @@ Equal vectors are one class, which keeps its `k` + 1 smallest ids: no answer nee
 seeded hash order (a bounded number, by the square root of the number of classes). Each class is represented by its
 `PREFIX` nearest pivots in order and posted in the inverted files of its `POSTED` nearest ones. A query visits
 the files of its own nearest pivots, ranks their postings by the footrule distance of the ordered prefixes (a pivot
-outside a prefix stands at place `PREFIX`), and reranks the best `RERANK` of each file by Euclidean distance in double
-precision. The best of all files are merged and expanded to ids.
+outside a prefix stands at place `PREFIX`), and reranks by Euclidean distance in double precision all postings within a
+footrule bound and the best `RERANK` of each block at least. The best of all files are merged and expanded to ids.
+
+The number of files and the footrule bound are measured, so they grow with pivots and files: `SAMPLE` queries in seeded hash
+order are answered exactly by a scan of all classes, and both are set such that the index finds the share `RECALL` of
+those answers (each may lose half of the rest). At least `VISITED` files are visited.
 
 A file is cut into blocks of about `BLOCK` postings, so a crowded pivot is many tasks; queries are copied to each block.
 Only pivots and the length of each file (both bounded by MAX_PIVOTS) reach the driver. Queries that end with fewer
@@ -29,6 +33,8 @@ K = 10
 PREFIX = 12
 POSTED = 2
 VISITED = 24
+SAMPLE = 200
+RECALL = 0.99
 RERANK = 400
 BLOCK = 4096
 MIN_PIVOTS, MAX_PIVOTS = 8, 4096
@@ -76,6 +82,15 @@ def _best(ids: np.ndarray, cls: np.ndarray, d: np.ndarray, k: int):
     return np.full(len(order), ids), cls[order], d[order]
 
 
+def needed(query: np.ndarray, near: np.ndarray, pivots: np.ndarray, prefix: int, posted: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of near: how many files its query must visit to meet it, and the footrule distance of the two."""
+    m = len(pivots)
+    q, o = orders(query[None, :], pivots, m)[0], orders(near, pivots, max(prefix, posted))
+    place = np.empty(m, np.int64)
+    place[q] = np.arange(m)
+    return place[o[:, :posted]].min(1) + 1, footrule(q[:prefix], o[:, :prefix], m)
+
+
 def _hits(parts) -> pa.Table:
     cat = lambda i, t: np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]).astype(t)
     return pa.table({"query_id": cat(0, np.int64), "cls": cat(1, np.int64), "score": cat(2, np.float64)})
@@ -102,7 +117,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     picked = classes.orderBy(F.xxhash64(F.lit(SEED), "v"), "cls").limit(m).select("v").toArrow()
     pivots = _matrix(picked.column("v"), dim)
     bag = spark.sparkContext.broadcast(pivots)
-    prefix, posted, visited = min(PREFIX, m), min(POSTED, m), min(VISITED, m)
+    prefix, posted = min(PREFIX, m), min(POSTED, m)
+    asked = rows.filter("q").select(F.col("id").alias("key"), "v")
+    visited, bound = _measured(asked, classes, pivots, dim, k, prefix, posted)
 
     def perm(n_files: int):
         def f(batches):
@@ -117,7 +134,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     vtype = vectors.schema[vec_col].dataType.simpleString()
     shape = f"key long, v {vtype}, perm binary, pivot int"
     posts = classes.select(F.col("cls").alias("key"), "v").mapInArrow(perm(posted), shape)
-    asked = rows.filter("q").select(F.col("id").alias("key"), "v")
     sizes = {r.pivot: r["count"] for r in posts.select("pivot").groupBy("pivot").count().collect()}
     blocks = F.lit([max(1, -(-sizes.get(p, 0) // BLOCK)) for p in range(m)])
     of = blocks[F.col("pivot")]
@@ -134,7 +150,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
         found = []
         for i in np.flatnonzero(q) if len(at) else ():
             f = footrule(o[i], p, m)
-            best = np.argpartition(f, RERANK)[:RERANK] if len(f) > RERANK else np.arange(len(f))
+            best = np.flatnonzero(f <= max(bound, np.partition(f, RERANK)[RERANK])) if len(f) > RERANK else np.arange(len(f))
             found.append(_best(key[i], ids[best], distances(v[i], x[best]), k + 1))
         return _hits(found)
 
@@ -150,20 +166,46 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
         step = 1024
         for b in range(-(-more.count() // step)):
             own = more.select("key", "v", F.pmod(F.xxhash64("key"), F.lit(-(-more.count() // step))).alias("b")).filter(F.col("b") == b).toArrow()
-            qs = spark.sparkContext.broadcast((own.column("key").to_numpy(), _matrix(own.column("v"), dim)))
-
-            def scan(batches, qs=qs):
-                for t in batches:
-                    x, cls = _matrix(t.column("v"), dim), t.column("cls").to_numpy()
-                    yield from _hits([_best(i, cls, distances(v, x), k + 1) for i, v in zip(*qs.value, strict=True)]).to_batches()
-
-            parts.append(_expand(stored(classes.select("cls", "v").mapInArrow(scan, _HIT), "scan"), classes, k))
+            parts.append(_expand(_scan(classes, own.column("key").to_numpy(), _matrix(own.column("v"), dim), k), classes, k))
         pairs = pairs.join(short.select(F.col("key").alias("query_id")).distinct(), "query_id", "left_anti")
         for p in parts[1:]:
             pairs = pairs.unionByName(p)
     return out(pairs)
 
 
+def _scan(classes: DataFrame, keys: np.ndarray, x: np.ndarray, k: int) -> DataFrame:
+    """Hits that hold the k + 1 nearest of all classes for each of a bounded number of queries."""
+    qs = classes.sparkSession.sparkContext.broadcast((keys, x))
+
+    def scan(batches):
+        for t in batches:
+            rows, cls = _matrix(t.column("v"), x.shape[1]), t.column("cls").to_numpy()
+            yield from _hits([_best(i, cls, distances(v, rows), k + 1) for i, v in zip(*qs.value, strict=True)]).to_batches()
+
+    return stored(classes.select("cls", "v").mapInArrow(scan, _HIT), "scan")
+
+
+def _measured(asked: DataFrame, classes: DataFrame, pivots: np.ndarray, dim: int, k: int, prefix: int, posted: int) -> tuple[int, int]:
+    """The number of files to visit and the footrule bound that find RECALL of the sample's exact answers."""
+    m = len(pivots)
+    if m <= VISITED and classes.count() <= RERANK:
+        return m, 0
+    some = asked.orderBy(F.xxhash64(F.lit(SEED), "key", "v"), "key").limit(SAMPLE).toArrow()
+    if not some.num_rows:
+        return min(VISITED, m), 0
+    x = _matrix(some.column("v"), dim)
+    order = Window.partitionBy("query_id").orderBy("score", "cls")
+    near = _scan(classes, np.arange(len(x)), x, k).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
+    near = near.filter("score > 0").join(classes.select("cls", "v"), "cls").select("query_id", "v").toArrow()
+    of, y = near.column("query_id").to_numpy(), _matrix(near.column("v"), dim)
+    both = [needed(x[i], y[of == i], pivots, prefix, posted) for i in np.unique(of)]
+    if not both:
+        return min(VISITED, m), 0
+    share = (1 + RECALL) / 2
+    files, bound = (int(np.quantile(np.concatenate(z), share, method="higher")) for z in zip(*both, strict=True))
+    return min(max(VISITED, files), m), bound
+
+
 def _expand(hits: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """The k nearest ids of each query from its hits on classes; ties to the smaller id."""
     near = Window.partitionBy("query_id").orderBy("score", "cls")

@@ -205,6 +205,22 @@ def test_permutation(spark):
     assert permutation.search(df.filter("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_permutation_more_pivots_than_visited(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(permutation, "VISITED", 8)
+    monkeypatch.setattr(permutation, "RERANK", 40)
+    y, hit, got = x.astype(float), 0, defaultdict(set)
+    for r in permutation.search(df, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    for q in range(0, 4000, 50):
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.98 * 800, hit
+
+
 def test_footrule():
     rng = np.random.default_rng(2)
     for _ in range(50):
