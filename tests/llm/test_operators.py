@@ -248,6 +248,20 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_long_and_mixed_disguises(spark):
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(words, k=30) + ["horridscum"] * (i % 4 == 0)), int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(toxicity.sample_labelled(df.select("doc_id", "text"), df.select("doc_id", "toxic")))
+    long, spell = words[:14], lambda ws: " ".join("".join(ws))
+    bad = ["h" + "o" * 90 + "rridscum", ".".join([*long, "h0rr1dsc" + "u" * 5 + "m", *long]), spell([*long, "horridscum"]), "h 0 r r 1 d s c u m", "\u00e9 h o r r i d s c u m", spell(["bal", "horridscum", "dem"])]
+    good = [spell(long * 3), ".".join(long * 2), "b" + "a" * 90 + "l", "a 1 2 3", "1 2 3 4", "x9" * 3000]
+    probe = [(i, t) for i, t in enumerate(bad + good)]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(probe, "doc_id long, text string"), model).collect()}
+    assert [got[i] >= 0.5 for i in range(len(probe))] == [True] * len(bad) + [False] * len(good)
+
+
 def test_decontaminate(spark, docs, rows, empty):
     items = [(1, rows[0][1]), (2, rows[1][1]), (3, "w1 w2 w3"), (4, None), (5, ""), (None, "w1"), (11, "zz"), (6, rows[40][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
