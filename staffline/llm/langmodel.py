@@ -9,7 +9,7 @@ distribution, so every word, unseen ones too, has a probability and they sum to
     P(w | h) = P(rest | h) * base(w) / base(rest)        for all other words
 
 Training: truncated backpropagation through `SPAN` words with Adagrad. First on the driver over a bounded sample of texts in
-seeded hash order (`WARM_ROWS` texts of `WARM_BYTES` at most; small ones are read again up to `WARM_TOKENS` words), then once over one in `SHARE` of all training texts (which grows with the corpus): each task
+seeded hash order (`WARM_ROWS` texts of `WARM_BYTES` at most; small ones are read again up to `WARM_TOKENS` words), then once over all training texts, whatever their length or id (at most LANES - 1 words at the end of a slice are left over): each task
 goes on from the driver's weights and the results are averaged by tokens. Scoring carries the state through a whole
 text in windows of `WINDOW` words, many texts side by side.
 
@@ -42,7 +42,6 @@ HIDDEN = 24
 TABLE = 1 << 18
 WARM_TOKENS = 1_200_000
 WARM_ROWS, WARM_BYTES = 3000, 1 << 13
-SHARE = 16
 LANES = 64
 SPAN = 16
 RATE = 0.08
@@ -137,7 +136,7 @@ class Network:
         seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.w.items()}
         for t0 in range(0, steps, SPAN):
             span = range(t0, min(t0 + SPAN, steps))
-            before, caches, grad = [], [], {k: np.zeros_like(v) for k, v in self.w.items()}
+            before, caches, grad = [], [], {k: np.zeros_like(v) for k, v in self.w.items() if k != "x"}
             for t in span:
                 h = np.where(fresh[:, t, None], np.float32(0), h)
                 before.append(h)
@@ -145,17 +144,23 @@ class Network:
                 caches.append(cache)
             _, dout = self.log_probs(np.concatenate(before), s[:, t0 : span.stop].T.ravel(), grad)
             dout = dout.reshape(len(before), lanes, HIDDEN)
-            dh = np.zeros_like(h)
+            dh, rows = np.zeros_like(h), []
             for i in range(len(before) - 1, -1, -1):
                 z, r, m, a = caches[i]
                 dm = dh * (1 - z) * (1 - m * m)
                 dg = np.concatenate([dh * (before[i] - m) * z * (1 - z), dm * a * r * (1 - r), dm], 1)
                 da = dg.copy()
                 da[:, 2 * HIDDEN :] *= r
-                np.add.at(grad["x"], s[:, t0 + i], dg)
+                rows.append(dg)
                 grad["u"] += before[i].T @ da
                 dh = dh * z + da @ self.w["u"].T + dout[i]
                 dh[fresh[:, t0 + i]] = 0  # a text's first state is fixed
+            at = s[:, t0 : span.stop].T[::-1].ravel()
+            order = np.argsort(at, kind="stable")
+            own, lo = np.unique(at[order], return_index=True)
+            g = np.clip(np.add.reduceat(np.concatenate(rows)[order], lo) / np.float32(lanes), -1, 1)
+            seen["x"][own] += g * g
+            self.w["x"][own] -= rate * g / np.sqrt(seen["x"][own])  # rows of absent symbols have no gradient
             for k, g in grad.items():
                 g /= lanes
                 np.clip(g, -1, 1, out=g)
@@ -196,6 +201,7 @@ class Model:
     v: int
     parts: int
     weights: dict | None = None
+    trained: int = 0  # words of the last training pass
 
     def lookup(self, h: np.ndarray):
         """(place in the table or -1, symbol) of each word hash."""
@@ -304,12 +310,13 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
         return pa.table({"n": pa.array([int(np.sum(t.column("n").to_numpy()))], pa.int64()), "w": pa.array([w.tobytes()], pa.binary())})
 
     # many tasks' weights are added in groups of 16, then the rest on the driver one by one
-    learned = texts.filter(F.pmod("h", F.lit(SHARE)) == 0).select("text").mapInArrow(go_on, "n long, w binary")
+    learned = texts.select("text").mapInArrow(go_on, "n long, w binary")
     learned = learned.withColumn("g", F.spark_partition_id().bitwiseAND(15)).groupBy("g").applyInArrow(lambda t: average(t), "n long, w binary")
     trained, flat = 0, 0.0
     for r in learned.toLocalIterator():
         trained += r.n
         flat = flat + np.frombuffer(r.w, np.float64)
+    model.trained = trained
     if trained:
         flat, at = flat / trained, 0
         for name in sorted(net.w):

@@ -136,6 +136,12 @@ def test_langmodel_shuffled_counts_and_normalisation(docs, monkeypatch):
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_langmodel_trains_on_all_texts(spark, docs):
+    own = docs.select("doc_id", "text").filter("doc_id < 60")
+    model, _ = langmodel.fit(own.unionByName(own.withColumn("doc_id", F.lit(None).cast("long"))))
+    assert model.trained == model.n > 0
+
+
 def fingerprint(t, words=4):
     w = WORD.findall(lower(t))
     sh = [" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))] if w else []
