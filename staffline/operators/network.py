@@ -39,7 +39,7 @@ def loop_rank(obs: DataFrame) -> DataFrame:
     return obs.agg(F.count(F.lit(1)).alias("n_edges")).crossJoin(c).withColumn("loop_rank", F.col("n_edges") - F.col("n_points") + F.col("n_components"))
 
 
-def loops(obs: DataFrame, max_edges: int = 10, cls: int = 3) -> DataFrame:
+def loops(obs: DataFrame, max_edges: int = 11, cls: int = 3) -> DataFrame:
     """Simple loops of three to max_edges observations with signed misclosure, tolerance and outcome.
 
     Paths grow from their least point one edge at a time by joins; each loop is found in two senses and kept once.

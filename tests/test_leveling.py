@@ -53,3 +53,8 @@ def test_network(spark):
     assert h[1].is_fixed and abs(h[2].sigma0 - math.sqrt(3) * 0.001) < 1e-9
     v = [r.v_mm for r in N.residuals(o.filter("obs_seq < 4"), N.least_squares(o, fixed)).collect()]
     assert all(abs(x - 1.0) < 1e-6 for x in v)
+
+
+def test_rings_at_the_bound(spark):
+    ring = lambda n: obs(spark, [(k, k, k % n + 1, 0.0, 100.0) for k in range(1, n + 1)])
+    assert [r.n_edges for r in N.loops(ring(11)).collect()] == [11] and N.loops(ring(12)).count() == 0
