@@ -246,7 +246,8 @@ def test_toxicity(spark, empty):
             t[rng.randrange(30)] = "horridscum"
         rows.append((i, " ".join(t), int(i % 4 == 0)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(toxicity.sample_labelled(df.select("doc_id", "text"), df.select("doc_id", "toxic")))
+    sample, share = toxicity.sample_labelled(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    model = toxicity.fit(sample, share=share)
     plain = " ".join(words[:20])
     probe = [(1, plain + " h0rr1dscum"), (2, plain + " h o r r i d s c u m"), (3, plain + " hoooorridscuuum"), (4, plain), (5, None), (6, "")]
     got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(probe, "doc_id long, text string"), model).collect()}
@@ -254,12 +255,62 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_viterbi_against_all_paths():
+    chars = toxicity.CharModel(Counter({"idiot": 9, "clown": 7, "stand": 9, "clan": 4, "at": 5}))
+
+    def best(runs, state, word, cost, spaced):
+        if not runs:
+            return cost + (chars._end(state, word) if state != "^^^" else 0.0)
+        out = []
+        for text, price in chars.arcs(*runs[0], spaced):
+            for tail in ("", " ") if spaced else ("",):
+                s, w, c = state, word, cost + price
+                if tail:
+                    c += toxicity.COST["break"]
+                for x in text + tail:
+                    if x == " ":
+                        c += chars._end(s, w)
+                        s, w = "^^^", ""
+                    else:
+                        c += chars.cost(s, x)
+                        s, w = s[1:] + x, (w + x if w is not None and w + x in chars.heads else None)
+                if tail and s == state == "^^^":
+                    continue
+                out.append(best(runs[1:], s, w, c, spaced))
+        return min(out)
+
+    for token, spaced in (("1d10t", False), ("c.l0wn", False), ("sttand", False), ("c|@n", False), ("clanat", True), ("1diot", True)):
+        runs = [(m[1], len(m[0])) for m in re.finditer(r"(.)\1*", token)]
+        assert abs(chars.decode(token, spaced)[1] - best(runs, "^^^", "", 0.0, spaced)) < 1e-9, token
+    assert chars.decode("1d10t")[0] == "idiot" and chars.decode("c.l0wn")[0] == "clown"
+
+
+def test_toxicity_rare_words_and_labels(spark, empty):
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+    bad = [f"{a}{b}{a}x{c}" for a in "ptkz" for b in "aeiou" for c in "aeio"]  # 80 toxic words, a few texts each
+    rows = [(i, " ".join(rng.choices(words, k=60) + [bad[i % 80]] * (i % 3 == 0)), int(i % 3 == 0)) for i in range(1500)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(0, 0), (0, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    sample, share = toxicity.sample_labelled(docs.unionByName(docs.limit(5)), labels)
+    assert sample.count() == 1500 and abs(share - 1 / 3) < 0.01
+    model = toxicity.fit(sample, share=share)
+    probe = [(i, " ".join(rng.choices(words, k=60) + [bad[i]] * (i < 80))) for i in range(80)] + [(100 + i, " ".join(rng.choices(words, k=60))) for i in range(80)]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(probe, "doc_id long, text string"), model).collect()}
+    assert sum(got[i] >= 0.5 for i in range(80)) >= 72 and sum(got[100 + i] < 0.5 for i in range(80)) >= 76
+    clean, share = toxicity.sample_labelled(docs, labels.filter("toxic = 0"))
+    assert {r.score for r in toxicity.score(docs.limit(3), toxicity.fit(clean, share=share)).collect()} == {0.0}
+    none, share = toxicity.sample_labelled(empty, labels.filter("false"))
+    assert toxicity.score(empty, toxicity.fit(none, share=share)).count() == 0
+
+
 def test_toxicity_long_and_mixed_disguises(spark):
     words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices(words, k=30) + ["horridscum"] * (i % 4 == 0)), int(i % 4 == 0)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(toxicity.sample_labelled(df.select("doc_id", "text"), df.select("doc_id", "toxic")))
+    sample, share = toxicity.sample_labelled(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    model = toxicity.fit(sample, share=share)
     long, spell = words[:14], lambda ws: " ".join("".join(ws))
     bad = ["h" + "o" * 90 + "rridscum", ".".join([*long, "h0rr1dsc" + "u" * 5 + "m", *long]), spell([*long, "horridscum"]), "h 0 r r 1 d s c u m", "\u00e9 h o r r i d s c u m", spell(["bal", "horridscum", "dem"])]
     good = [spell(long * 3), ".".join(long * 2), "b" + "a" * 90 + "l", "a 1 2 3", "1 2 3 4", "x9" * 3000]
