@@ -75,3 +75,30 @@ class SuffixAutomaton:
             states.append(s)
             sizes.append(n)
         return states, sizes
+
+    def windows(self, symbols: Sequence, size: int) -> list[int]:
+        """The state that holds each window of `size` symbols, in order, or -1 where a window doesn't occur.
+
+        Matching statistics as in `match`, but a match is cut back to `size` symbols as soon as it is longer.
+        """
+        nxt, link, length = self.next, self.link, self.length
+        s = n = 0
+        out = []
+        for k, c in enumerate(symbols):
+            t = nxt[s].get(c)
+            while t is None and s:
+                s = link[s]
+                n = length[s]
+                t = nxt[s].get(c)
+            if t is None:
+                n = 0
+            else:
+                s = t
+                n += 1
+                while n > size and length[link[s]] >= size:
+                    s = link[s]
+                if n > size:
+                    n = size
+            if k >= size - 1:
+                out.append(s if n == size else -1)
+        return out
