@@ -8,13 +8,14 @@ distribution, so every word, unseen ones too, has a probability and they sum to
     P(w | h) = P(class | h) * P(w | class, h)            for a symbol
     P(w | h) = P(rest | h) * base(w) / base(rest)        for all other words
 
-Training: truncated backpropagation through `SPAN` words with Adagrad. First on the driver over a bounded sample of texts in
-seeded hash order (`WARM_ROWS` texts of `WARM_BYTES` at most; small ones are read again up to `WARM_TOKENS` words), then once over all training texts, whatever their length or id (at most LANES - 1 words at the end of a slice are left over): each task
-goes on from the driver's weights and the results are averaged by tokens. Scoring carries the state through a whole
-text in windows of `WINDOW` words, many texts side by side.
+Training: truncated backpropagation through `SPAN` words with Adagrad, `LANES` texts side by side. A first task learns from whole
+texts whose hash is below a threshold (about `WARM_TOKENS` words); then every task goes on from its weights over all training
+texts it reads, whatever their length or id (at most LANES - 1 words at the end of a slice are left over), and the results are
+averaged by words in a tree of fixed fan-in. Scoring carries the state through a whole text in windows of `WINDOW` words,
+many texts side by side.
 
-The counts of the `TABLE` most frequent words are broadcast (a fixed bound); rarer words meet their counts in a
-shuffle of packed arrays, at most one entry per document and word, and only sums per document come back.
+The counts of the most frequent words, `TABLE` at most (those over a threshold that a histogram of counts gives), are broadcast; rarer
+words meet their counts in a shuffle of packed arrays, at most one entry per document and word, and only sums per document come back.
 
 Defined results: null text is empty and has one token, the end; with no training text N = V = 0 and every word has
 probability 1 by the base; repeated rows score alike; ids may be null; an empty table gives no rows; extra columns are kept
@@ -40,14 +41,15 @@ SYMBOLS = 2048  # with the end token
 CLASS = 64
 HIDDEN = 24
 TABLE = 1 << 18
-WARM_TOKENS = 1_200_000
-WARM_ROWS, WARM_BYTES = 3000, 1 << 13
-LANES = 64
+WARM_TOKENS = 1_000_000
+LANES = 256
 SPAN = 16
+FAN_IN, LEVELS = 32, 3
 RATE = 0.08
 WINDOW = 32
 SEED = 17
-SLICE = 2 << 20
+SLICE = 1 << 20  # of text whose words are hashed at a time
+GROUP = 1 << 20  # words of texts that run side by side
 END = np.uint64(0x5EED_E4D0_70CE_4E4D)
 _U = np.uint64
 
@@ -91,38 +93,46 @@ class Network:
         """Natural log probability of symbols s after states h; with grad, also the gradient of their negative sum by h."""
         w, at = self.w, np.arange(len(s))
         cls = np.where(s < self.n, s // CLASS, self.classes - 1)
-        logit = h @ w["c"] + w["cb"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
+        e = h @ w["c"]
+        e += w["cb"]
+        e -= e.max(1, keepdims=True)
+        said = e[at, cls]
+        np.exp(e, out=e)
         total = e.sum(1)
-        lp = logit[at, cls] - np.log(total)
+        lp = said - np.log(total)
         dh = None
         if grad is not None:
-            d = e / total[:, None]
-            d[at, cls] -= 1
-            grad["c"] += h.T @ d
-            grad["cb"] += d.sum(0)
-            dh = d @ w["c"].T
-        order = np.argsort(cls, kind="stable")
+            e /= total[:, None]
+            e[at, cls] -= 1
+            grad["c"] += h.T @ e
+            grad["cb"] += e.sum(0)
+            dh = e @ w["c"].T
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         cut = np.searchsorted(cls[order], np.arange(self.classes))
+        some = order[: cut[-1]]  # sorted by class, so each class is a slice
+        x, j = h[some], s[some] % CLASS
+        own_lp, own_dh = np.empty(len(some), np.float32), np.empty_like(x) if grad is not None else None
         for k in range(self.classes - 1):
-            i = order[cut[k] : cut[k + 1]]
-            if not len(i):
+            lo, hi = cut[k], cut[k + 1]
+            if lo == hi:
                 continue
-            own = slice(k * CLASS, (k + 1) * CLASS)
-            x = h[i]
-            logit = x @ w["o"][own].T + w["ob"][own]
-            logit -= logit.max(1, keepdims=True)
-            e = np.exp(logit)
+            own, row, i = slice(k * CLASS, (k + 1) * CLASS), slice(lo, hi), np.arange(hi - lo)
+            e = x[row] @ w["o"][own].T
+            e += w["ob"][own]
+            e -= e.max(1, keepdims=True)
+            said = e[i, j[row]]
+            np.exp(e, out=e)
             total = e.sum(1)
-            j = s[i] - k * CLASS
-            lp[i] += logit[np.arange(len(i)), j] - np.log(total)
+            own_lp[row] = said - np.log(total)
             if grad is not None:
-                d = e / total[:, None]
-                d[np.arange(len(i)), j] -= 1
-                grad["o"][own] += d.T @ x
-                grad["ob"][own] += d.sum(0)
-                dh[i] += d @ w["o"][own]
+                e /= total[:, None]
+                e[i, j[row]] -= 1
+                grad["o"][own] += e.T @ x[row]
+                grad["ob"][own] += e.sum(0)
+                own_dh[row] = e @ w["o"][own]
+        lp[some] += own_lp
+        if grad is not None:
+            dh[some] += own_dh
         return lp, dh
 
     def train(self, s: np.ndarray, first: np.ndarray, rate: float = RATE) -> None:
@@ -254,20 +264,36 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
     parts = table_parts(texts, "text", 32 << 20)
     counted = stored(_counted(texts.select("text"), parts), "counts")
 
+    def histogram(batches):
+        for b in batches:
+            for raw in b.column("counts").to_pylist():
+                n = np.frombuffer(raw, np.int64)
+                step, words = np.unique(np.floor(8 * np.log2(n)).astype(np.int32), return_counts=True)
+                total = np.zeros(len(step), np.int64)
+                total[:1] = n.sum()
+                yield pa.RecordBatch.from_arrays([pa.array(step, pa.int32()), pa.array(words, pa.int64()), pa.array(total)], names=["step", "words", "tokens"])
+
+    steps = counted.mapInArrow(histogram, "step int, words long, tokens long").groupBy("step").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()
+    total, distinct = sum(r.tokens for r in steps), sum(r.words for r in steps)
+    least, held = 10_000, 0
+    for r in sorted(steps, key=lambda r: -r.step):  # the words of whole steps, as long as the table holds them
+        held += r.words
+        if held > TABLE:
+            break
+        least = r.step
+
     def top(batches):
         for b in batches:
             for k, n in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 k, n = np.frombuffer(k, _U), np.frombuffer(n, np.int64)
-                # a word of the TABLE most frequent is one of its part's most frequent; parts deal words evenly
-                i = np.lexsort((k, -n))[: max(1024, 2 * TABLE // parts)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())], pa.int64()), pa.array([len(n)], pa.int64()), pa.array([k[i].tobytes()], pa.binary()), pa.array([n[i].tobytes()], pa.binary())], names=["n", "v", "keys", "counts"])
+                i = (np.floor(8 * np.log2(n)) >= least) | (k == END)
+                yield pa.RecordBatch.from_arrays([pa.array([k[i].tobytes()], pa.binary()), pa.array([n[i].tobytes()], pa.binary())], names=["keys", "counts"])
 
-    rows = counted.mapInArrow(top, "n long, v long, keys binary, counts binary").toArrow()
+    rows = counted.mapInArrow(top, "keys binary, counts binary").toArrow()
     unpack = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)
     k, n = unpack("keys", _U), unpack("counts", np.int64)
-    total, distinct = (int(np.sum(rows.column(c).to_numpy())) for c in ("n", "v"))
     del rows
-    order = np.lexsort((k, -n))[:TABLE]
+    order = np.lexsort((k, -n))
     k, n = k[order], n[order]
     ends = np.flatnonzero(k == END)
     if len(ends):  # the end is always a symbol: symbol 0
@@ -282,48 +308,62 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
     model.weights = net.w
     if not total:
         return model, counted
-    # texts of ordinary length, so that the sample's bound in rows is one in bytes as well
-    size = F.octet_length("text")
-    some = texts.filter(size.between(1, WARM_BYTES)).orderBy("h").limit(WARM_ROWS).select("text").toArrow()
-    h, first = tokens(some.column("text"))
-    if len(h):
-        for again in range(max(1, WARM_TOKENS // len(h))):  # small samples are read more than once
-            net.train(model.lookup(h)[1], first, RATE / (1 + again))
-    model.weights = net.w
-    bag = spark.sparkContext.broadcast(model)
+    bar = int(min(2**63 - 1, -(2**63) + min(1.0, WARM_TOKENS / total) * 2**64))
+    some = texts.withColumn("h", F.xxhash64(F.lit(SEED), "h", F.xxhash64("text"))).filter(F.col("h") <= F.lit(bar))
+    model.weights, _ = _trained(some.select("text").repartition(1), model, RATE)
+    model.weights, model.trained = _trained(texts.select("text"), model, RATE / 4)
+    return model, counted
+
+
+def _trained(texts: DataFrame, model: Model, rate: float) -> tuple[dict, int]:
+    """Weights after each task has gone on from the model's over its texts, averaged by words; the number of words."""
+    bag = texts.sparkSession.sparkContext.broadcast(model)
 
     def go_on(batches):
-        own = None
-        trained = 0
-        for batch in batches:
-            for t in slices(batch, "text", SLICE):
-                h, first = tokens(t.column("text"))
-                own = own or bag.value.network()
-                own.train(bag.value.lookup(h)[1], first, RATE / 4)
-                trained += len(h)
+        own, seen = None, 0
+        for s, first in grouped(batches, "text", lambda h: bag.value.lookup(h)[1]):
+            own = own or bag.value.network()
+            own.train(s, first, rate)
+            seen += len(s)
         if own is not None:
-            names = sorted(own.w)
-            yield pa.RecordBatch.from_arrays([pa.array([trained], pa.int64()), pa.array([b"".join((own.w[k].astype(np.float64) * trained).tobytes() for k in names)], pa.binary())], names=["n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seen], pa.int64()), pa.array([b"".join((own.w[k].astype(np.float64) * seen).tobytes() for k in sorted(own.w))], pa.binary())], names=["g", "n", "w"])
 
-    def average(t: pa.Table) -> pa.Table:
+    def add(t: pa.Table) -> pa.Table:
         w = sum(np.frombuffer(x, np.float64) for x in t.column("w").to_pylist())
-        return pa.table({"n": pa.array([int(np.sum(t.column("n").to_numpy()))], pa.int64()), "w": pa.array([w.tobytes()], pa.binary())})
+        return pa.table({"g": t.column("g").slice(0, 1), "n": pa.array([int(np.sum(t.column("n").to_numpy()))], pa.int64()), "w": pa.array([w.tobytes()], pa.binary())})
 
-    # many tasks' weights are added in groups of 16, then the rest on the driver one by one
-    learned = texts.select("text").mapInArrow(go_on, "n long, w binary")
-    learned = learned.withColumn("g", F.spark_partition_id().bitwiseAND(15)).groupBy("g").applyInArrow(lambda t: average(t), "n long, w binary")
-    trained, flat = 0, 0.0
+    learned = texts.mapInArrow(go_on, "g int, n long, w binary")
+    for _ in range(LEVELS):
+        learned = learned.withColumn("g", F.floor(F.col("g") / FAN_IN).cast("int")).groupBy("g").applyInArrow(add, "g int, n long, w binary")
+    seen, flat = 0, 0.0
     for r in learned.toLocalIterator():
-        trained += r.n
+        seen += r.n
         flat = flat + np.frombuffer(r.w, np.float64)
-    model.trained = trained
-    if trained:
-        flat, at = flat / trained, 0
-        for name in sorted(net.w):
-            shape = net.w[name].shape
-            model.weights[name] = flat[at : at + int(np.prod(shape))].reshape(shape).astype(np.float32)
-            at += int(np.prod(shape))
-    return model, counted
+    if not seen:
+        return model.weights, 0
+    out, at = {}, 0
+    for name in sorted(model.weights):
+        shape = model.weights[name].shape
+        size = int(np.prod(shape))
+        out[name] = (flat[at : at + size] / seen).reshape(shape).astype(np.float32)
+        at += size
+    return out, seen
+
+
+def grouped(batches, text_col: str, look):
+    """Symbols of many texts, look(word hashes), and the places of their beginnings, for about GROUP words at a time."""
+    held, begun, n = [], [], 0
+    for batch in batches:
+        for t in slices(batch, text_col, SLICE):
+            h, first = tokens(t.column(text_col))
+            held.append(look(h).astype(np.int16))
+            begun.append(first[:-1] + n)
+            n += len(h)
+            if n >= GROUP:
+                yield np.concatenate(held), np.concatenate(begun)
+                held, begun, n = [], [], 0
+    if n:
+        yield np.concatenate(held), np.concatenate(begun)
 
 
 @lru_cache(maxsize=1)
@@ -345,8 +385,17 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame], text_col: str = "tex
 
     def run(batches):
         m, net = _ready(bag)
-        row = TaskContext.get().partitionId() << 36
+        row, held, words = TaskContext.get().partitionId() << 36, [], 0
         log = np.log10(m.counts + 1.0)
+
+        def scored():
+            symbols, sizes = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            lp, at = net.text_scores(symbols, np.concatenate([[0], np.cumsum(sizes)])) / np.log(10), 0
+            for _, n, ids, known, base, other, cols in held:
+                own = lp[at : at + len(n)] + other
+                at += len(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), -1), pa.int32()), pa.array(ids), pa.nulls(len(n), pa.binary()), *cols, pa.array(n), pa.array(known), pa.array(base), pa.array(own)], names=schema.names)
+
         for batch in batches:
             for t in slices(batch, text_col, SLICE):
                 h, first = tokens(t.column(text_col))
@@ -356,11 +405,13 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame], text_col: str = "tex
                 known, rest = pos >= 0, s == m.n_symbols
                 value = np.where(known, log[pos] if len(log) else 0.0, 0.0)
                 base = np.bincount(doc, value, len(n)) - n * whole
-                lp = net.text_scores(s, first) / np.log(10) + np.bincount(doc[rest], value[rest] - share, len(n))
                 ids = np.arange(row, row + len(n))
                 row += len(n)
-                cols = [pa.array(np.full(len(n), -1), pa.int32()), pa.array(ids), pa.nulls(len(n), pa.binary()), *(t.column(c) for c in keep)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(np.bincount(doc[known], minlength=len(n))), pa.array(base), pa.array(lp)], names=schema.names)
+                held.append((s.astype(np.int16), n, ids, np.bincount(doc[known], minlength=len(n)), base, np.bincount(doc[rest], value[rest] - share, len(n)), [t.column(c) for c in keep]))
+                words += len(h)
+                if words >= GROUP:
+                    yield from scored()
+                    held, words = [], 0
                 if len(m.keys) < m.v:  # words of no place in the table can be known: look them up in their parts
                     h, doc = h[~known], doc[~known]
                     order = np.lexsort((h, doc))
@@ -372,6 +423,8 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame], text_col: str = "tex
                     pack = [np.array([len(i)], np.int64).tobytes() + h[i].tobytes() + ids[doc[i]].tobytes() + times[i].tobytes() for _, i in some]
                     void = [pa.nulls(len(some), t.schema.field(c).type) for c in keep]
                     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int32()), pa.array(np.zeros(len(some), np.int64)), pa.array(pack, pa.binary()), *void, *(pa.nulls(len(some), x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=schema.names)
+        if held:
+            yield from scored()
 
     rows = stored(docs.select(*keep, text_col).mapInArrow(run, schema), "scores")
 
