@@ -3,11 +3,11 @@
 A rolling hash over `HASH_BYTES` bytes cuts every text into chunks, so a passage that several documents share is
 cut alike in each of them. A chunk is encoded once and kept in a bounded store of the worker; later documents
 reuse its ids. The ids at a chunk join can differ from those of the whole text, so each join is repaired: the
-text between the last sure boundary before the join and the first one after it is encoded again, and the ids on
-both sides are replaced. A sure boundary is a visible ASCII character followed by ASCII white space: no
+text between the last sure boundary before the join and the first one after it is encoded again in place of the ids on
+both sides. A sure boundary is a visible ASCII character followed by ASCII white space: no
 pre-token of the byte-level pattern and no special token reaches over it, in any context, so there the chunk's ids
-and those of the whole text agree exactly. A chunk without a sure boundary is joined with its neighbour and encoded
-again whole, until one is found or the text ends.
+and those of the whole text agree exactly. A chunk without a sure boundary leaves its join open: it is encoded with its
+neighbours, once, when a sure boundary or the text's end comes. So every byte is encoded twice at most.
 
 The vocabulary file is a parameter: a tokenizers JSON of a byte-level BPE whose pre-tokenizer is the byte-level
 pattern below, without normaliser or prefix space; anything else is refused. The merges are run by tiktoken from the
@@ -67,65 +67,59 @@ class Codec:
         self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
         self.piece: dict[int, bytes] = {i: b for b, i in ranks.items()} | {i: t.encode() for t, i in added.items()}
         top = max(self.piece) + 1
-        self.size = [len(self.piece.get(i, b"")) for i in range(top)]
-        self.store: dict[bytes, np.ndarray] = {}
+        self.size = np.array([len(self.piece.get(i, b"")) for i in range(top)])
+        self.store: dict[bytes, tuple[np.ndarray, int, int]] = {}
         self.held = 0
-        self.reused = self.made = 0
+        self.reused = self.made = self.repaired = 0
 
     def _encode(self, raw: bytes) -> np.ndarray:
         return self.coder.encode_to_numpy(raw.decode(), allowed_special="all")
 
-    def chunk(self, raw: bytes) -> np.ndarray:
-        ids = self.store.get(raw)
-        if ids is None:
+    def chunk(self, raw: bytes, first: int, last: int) -> tuple[np.ndarray, int, int]:
+        """Ids of a chunk and those of its ids that lie between its first and last sure boundary (byte places)."""
+        hit = self.store.get(raw)
+        if hit is None:
             ids = self._encode(raw)
+            ends = np.cumsum(self.size[ids])
+            i, j = (int(np.searchsorted(ends, x)) + 1 for x in (first, last))
+            if ends[i - 1] != first or ends[j - 1] != last:
+                raise AssertionError("a token reaches over a sure boundary")
+            hit = (ids, i, j)
             self.made += 1
-            self.held += len(raw) + ids.nbytes + 200
+            self.held += len(raw) + ids.nbytes + 300
             while self.held > STORE_BYTES and self.store:  # oldest first
                 k = next(iter(self.store))
-                self.held -= len(k) + self.store.pop(k).nbytes + 200
-            self.store[raw] = ids
+                self.held -= len(k) + self.store.pop(k)[0].nbytes + 300
+            self.store[raw] = hit
         else:
             self.reused += 1
-        return ids
+        return hit
 
     def encode(self, raw: bytes, cuts: list[int], sure: np.ndarray) -> list[int]:
         """Ids of a text; cuts: inner chunk bounds; sure: its sure boundaries (sorted byte positions)."""
-        if not raw:
-            return []
         out: list[int] = []
-        begin = 0  # the first byte that out has no ids for
+        done = 0  # out has the ids of the bytes before this place, the text's beginning or a sure boundary
         at = [0, *cuts, len(raw)]
-        size = self.size
-        for lo, hi in zip(at[:-1], at[1:], strict=True):
-            if lo >= hi:
+        k = np.searchsorted(sure, at)
+        for lo, hi, i, j, right in zip(at[:-1], at[1:], k[:-1].tolist(), k[1:].tolist(), np.searchsorted(sure, at[:-1], side="right").tolist(), strict=True):
+            i = max(i, right)  # boundaries inside the chunk only
+            if i >= j:
                 continue
-            ids = self.chunk(raw[lo:hi])
-            if lo == 0:
-                out, begin = ids.tolist(), hi
-                continue
-            k = int(np.searchsorted(sure, lo))
-            left = int(sure[k - 1]) if k else 0
-            right = int(sure[k]) if k < len(sure) else len(raw)
-            if right >= hi:
-                right = hi  # no sure boundary in this chunk: its end is the next join
-            if left < begin:
-                # ids of the bytes from left on go
-                gone = begin
-                while gone > left:
-                    gone -= size[out.pop()]
-                if gone != left:
-                    raise AssertionError("a token reaches over a sure boundary")
-            out += self._encode(raw[left:right]).tolist()
-            begin = hi
-            if right < hi:
-                new, skip, j = ids.tolist(), right - lo, 0
-                while skip > 0:
-                    skip -= size[new[j]]
-                    j += 1
-                if skip:
-                    raise AssertionError("a token reaches over a sure boundary")
-                out += new[j:]
+            first, last = int(sure[i]), int(sure[j - 1])
+            ids, a, b = self.chunk(raw[lo:hi], first - lo, last - lo)
+            if lo == 0:  # nothing comes before
+                out += ids[:b].tolist()
+            else:
+                if done < first:
+                    out += self._encode(raw[done:first]).tolist()
+                    self.repaired += 1
+                out += ids[a:b].tolist()
+            done = last
+            if hi == len(raw):  # nothing comes after
+                out += ids[b:].tolist()
+                done = hi
+        if done < len(raw):
+            out += self._encode(raw[done:]).tolist()
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -361,6 +362,21 @@ def test_bpe(docs, rows, empty):
     assert bpe.digests(empty, path).count() == 0
 
 
+def test_bpe_reuse_joins_and_text_without_blanks(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.vocabulary_path()
+    t, own = tokenizers.Tokenizer.from_file(path), bpe.Codec(open(path, encoding="utf-8").read())
+    rng = random.Random(9)
+    shared = " ".join(rng.choices(["alpha", "don't", "x1", "été", "--", "<|endoftext|>"], k=4000))
+    han = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(350_000))
+    texts = [f"one {shared}", f"two\n\n {shared} end", han, han[:9000] + " a b " + han[:9000], "x" * 9000, " " * 9000, "a  \n\t b" * 3000, ""]
+    for text, ids in zip(texts, own.texts(pa.array(texts)), strict=True):
+        assert ids == t.encode(text, add_special_tokens=False).ids and own.decode(ids) == text
+    assert own.reused > 3 and own.repaired > 3
+    df = spark.createDataFrame([(1, "a b", [7])], "doc_id long, text string, ids array<int>")
+    assert bpe.encode(df, path).columns == ["doc_id", "text", "ids"] and bpe.decode(bpe.encode(df, path), path).first().text == "a b"
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
