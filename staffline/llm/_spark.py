@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only on one machine whose session names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.gettempdir()}/checkpoints"
         os.makedirs(at.removeprefix("file://"), exist_ok=True)
     if not spark.sparkContext.getCheckpointDir():
@@ -33,6 +36,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
 

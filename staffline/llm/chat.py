@@ -1,6 +1,6 @@
 """Chat formatting: a finite-state machine over roles and a declarative template, in DataFrame functions only.
 
-A template names, for each role, what stands before and after its text and whether the text counts for the loss, and
+A template names what stands before and after a turn, the roles whose texts count for the loss, and
 the transitions of the turn-order machine. `format_chats` groups turns by conversation, orders them by (turn, role,
 text), runs the machine, and emits segments (text, loss) whose concatenation is the formatted conversation.
 
@@ -103,9 +103,10 @@ def read_back(formatted: Column, template: Template = CHATML) -> Column:
 
 def digests(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid; read back from the output."""
-    said = F.array_join(F.transform(read_back(F.col("formatted"), template), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    turns = read_back(F.col("formatted"), template)
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return formatted.select(
-        "conv_id", "n_turns", F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid",
     )

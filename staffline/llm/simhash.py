@@ -19,7 +19,7 @@ written to the shared folder.
 
 Defined results: null and word-less texts have fingerprint zero and link as any other; repeated doc_ids are rows of their
 own in one component (equal texts); null ids stay null and are never representatives unless all ids are null; extra columns
-are kept by `keep_one`; an empty table gives no rows.
+are kept by `keep_one`, which judges rows, not ids; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import stored
+from ._spark import forget, stored
 from ._text import BLANKS, mix, slices, split_words
 
 WORDS = 4
 MAX_BITS = 4
 BRUTE = 1500
 SMALL = 12
+LARGE, MAX_LARGE = 1000, 100_000  # fingerprints of a component; such components that are broadcast
 PART_BYTES = 24 << 20
 _SEG = (13, 13, 13, 13, 12)
 _AT = (0, 13, 26, 39, 52)
@@ -219,7 +220,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = stored(small, "edges")
+        old, now = now, stored(small, "edges")
+        forget(old)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -227,31 +229,48 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+def _grouped(docs: DataFrame, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, th, fp of each row), (fp, root, least of each fingerprint): root names its component, least its first row.
+
+    Rows are ordered by (id, hash of the text), null ids last.
+    """
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("th", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text_col):
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(fingerprints(part.column(text_col), words).view(np.int64))], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("__th"), pa.array(fingerprints(part.column(text_col), words).view(np.int64))], names=schema.names)
 
-    prints = stored(docs.select(id_col, text_col).mapInArrow(run, schema), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    prints = stored(docs.select(id_col, text_col, F.xxhash64(text_col).alias("__th")).mapInArrow(run, schema), "prints")
+    distinct = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("least"))
     n = distinct.count()
     linked = components(near_links(distinct.select("fp"), n))
-    # the smallest id of each component; fingerprints without links stand for themselves
-    placed = distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    owner = placed.filter("root <> fp").select("root", "least").unionByName(placed.filter("root = fp").select("root", "least")).groupBy("root").agg(F.min("least").alias("component_id"))
-    final = placed.join(owner, "root").select("fp", "component_id")
+    return prints, stored(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
+    prints, placed = _grouped(docs, words, id_col, text_col)
+    owner = placed.groupBy("root").agg(F.min("least").alias("own"), F.count(F.lit(1)).alias("n"))
+    # roots of many fingerprints would meet all of them in one task: these few are sent to all tasks, up to a bound
+    large = owner.filter(F.col("n") > LARGE).select("root", "own")
+    if 0 < large.limit(MAX_LARGE + 1).count() <= MAX_LARGE:
+        both = placed.join(F.broadcast(large), "root", "left")
+        small = both.filter("own is null").drop("own").join(owner.filter(F.col("n") <= LARGE).select("root", "own"), "root")
+        final = both.filter("own is not null").unionByName(small)
+    else:
+        final = placed.join(owner, "root")
+    final = final.select("fp", F.col("own.id").alias("component_id"))
     return prints.join(final, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest id of their component; all columns. One row of a repeated id stays; null ids stay."""
-    found = stored(near_duplicates(docs, words, id_col, text_col), "near")
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    if found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+    """One row of each component, the first by (id, hash of the text), null ids last; all columns.
+
+    An id that occurs with texts of several components keeps a row in each. Of rows with equal id and text one stays.
+    """
+    _, placed = _grouped(docs, words, id_col, text_col)
+    own = placed.groupBy("root").agg(F.min("least").alias("own")).select(F.col("own.id").alias("__id"), F.col("own.th").alias("__th"))
+    tagged = docs.withColumn("__h", F.xxhash64(text_col))
+    kept = tagged.join(own, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
+    return kept.dropDuplicates([id_col, "__h"]).select(*docs.columns)

@@ -182,6 +182,29 @@ def test_shard(docs, rows, empty):
     assert shard.shard(empty).count() == 0
 
 
+def test_shard_maps_seeds_and_files(spark, tmp_path):
+    df = spark.createDataFrame([(i % 9, "t" * (i % 5), {"a": i}, i, -1) for i in range(400)], "doc_id long, text string, m map<string,int>, shard int, slot int").repartition(4)
+    one, two = (sorted((r.doc_id, r.m["a"], r.shard, r.slot) for r in shard.shard(df, n_shards=3, bucket_bytes=500).collect()) for _ in range(2))
+    other = sorted((r.doc_id, r.m["a"], r.shard, r.slot) for r in shard.shard(df, n_shards=3, seed=2, bucket_bytes=500).collect())
+    assert one == two != other and {x[:2] for x in one} == {(i % 9, i) for i in range(400)}
+    shard.write_shards(shard.shard(df, n_shards=3), str(tmp_path / "s"), file_bytes=1500)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 400 and len(back.inputFiles()) > 3
+    for f in back.inputFiles():
+        slots = [r.slot for r in spark.read.parquet(f).collect()]
+        assert slots == list(range(slots[0], slots[0] + len(slots)))
+
+
+def test_keep_one_judges_rows(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(3))
+    rows = [(1, a, 1), (1, b, 2), (2, b, 3), (3, a, 4), (None, c, 5), (None, c, 6), (None, a, 7), (1, a, 8), (4, None, 9), (5, "", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_one(df, words=5).collect())
+    assert got == sorted([(1, a), (1, b), (0, c), (4, "")])
+    assert simhash.keep_one(df.filter("false")).count() == 0
+
+
 def test_langid(docs, empty):
     got = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs.filter("doc_id % 3 <> 1"))).collect()}
     assert all(got[i].lang_pred == ("en", "de")[i % 2] for i in range(80) if i % 9)
