@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffline.llm import bpe, decontaminate, langid, simhash, substring
-from staffline.llm._spark import stored, table
+from staffline.llm._spark import forget, stored, table
 from staffline.llm.queries import vocabulary_path
 
 
@@ -50,6 +50,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            forget(before)  # the next stage's input has been written
+        before = docs
     return docs
