@@ -65,3 +65,8 @@ def network_class(k: Column) -> Column:
 
 def residual_severity(mm: Column) -> Column:
     return F.when(F.abs(mm) > 3, "warning").when(F.abs(mm) > 2, "caution").otherwise("ok")
+
+
+def condition_meaning(condition: Column) -> Column:
+    """What the condition of a normal matrix says of its adjustment."""
+    return F.when(condition.isNull(), F.lit(None)).when(condition < 1e3, "well conditioned").when(condition < 1e6, "moderately conditioned").when(condition < 1e10, "poorly conditioned").otherwise("ill conditioned")

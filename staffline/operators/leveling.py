@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import regulations as R
+from ..functions.settings import EngineConfig
 
 def _line():
     return Window.partitionBy("line_id")
@@ -62,6 +63,22 @@ def line_adjust(setups: DataFrame, lines: DataFrame, benchmarks: DataFrame) -> D
     return out.join(known.select("line_id", "start_height"), "line_id").withColumn("height", F.col("start_height") + F.col("cumulative_height"))
 
 
+def adjust_single_line(setups: DataFrame, line: DataFrame, start_height: float, end_height: float) -> DataFrame:
+    """line_adjust of lines whose two ends have the given heights."""
+    ends = line.select(F.explode(F.array(F.struct(F.col("start_point").alias("point_id"), F.lit(float(start_height)).alias("height")), F.struct(F.col("end_point").alias("point_id"), F.lit(float(end_height)).alias("height")))).alias("x")).select("x.*").distinct()
+    return line_adjust(setups, line, ends)
+
+
+def line_info(lines: DataFrame, totals: DataFrame, benchmarks: DataFrame, cls: int = 3) -> DataFrame:
+    """What an adjustment of each line between known benchmarks reports: computed, known and adjusted difference, misclosure,
+    tolerance (legacy) and whether it's within; ends that aren't benchmarks of the table have status `endpoint_mismatch`."""
+    j = with_heights(lines, benchmarks).join(totals, "line_id")
+    known = F.col("end_height") - F.col("start_height")
+    mm = F.round((F.col("height_diff") - known) * 1000, 6)
+    tol = R.tolerance_legacy(F.col("distance"), F.lit(cls))
+    return j.select("line_id", "start_point", "end_point", F.col("height_diff").alias("computed_dh"), known.alias("known_dh"), known.alias("adjusted_dh"), mm.alias("misclosure_mm"), tol.alias("tolerance_mm"), (F.abs(mm) <= tol).alias("within"), F.when(known.isNull(), "endpoint_mismatch").otherwise("ok").alias("status"))
+
+
 def toggle_direction(lines: DataFrame, setups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines run the other way: ends, sights and order swapped, height differences negated."""
     turned = lines.select(*(c for c in lines.columns if c not in ("start_point", "end_point", "method")), F.col("end_point").alias("start_point"), F.col("start_point").alias("end_point"), F.when(F.col("method") == "BF", "FB").when(F.col("method") == "FB", "BF").otherwise(F.col("method")).alias("method"))
@@ -102,44 +119,112 @@ def double_runs(lines: DataFrame, totals: DataFrame, cls: int = 3) -> DataFrame:
     ).withColumn("within", F.abs("misclosure_mm") <= F.col("tolerance_mm"))
 
 
-def validate(lines: DataFrame, setups: DataFrame, cls: int = 3) -> DataFrame:
-    """Rule outcomes per line: endpoint, completeness, length, sights, method, balance; `valid` if no rule fails.
+def _naming_ok(filename: Column, start: Column, end: Column) -> Column:
+    """False if the file's name gives the ends the other way round: for a separator, its first part holds the end and its last the start.
+
+    Lower case; the last part ends at its first dot. Empty ends never match.
+    """
+    name, a, b = F.lower(filename), F.lower(start), F.lower(end)
+    bad = F.lit(False)
+    for sep in ("-", "_", " to "):
+        parts = F.split(name, sep)
+        first, last = F.trim(parts[0]), F.substring_index(F.trim(F.element_at(parts, -1)), ".", 1)
+        bad = bad | ((F.size(parts) > 1) & (a != "") & (b != "") & last.contains(a) & first.contains(b))
+    return ~F.coalesce(bad, F.lit(False))
+
+
+def validate(lines: DataFrame, setups: DataFrame, cls: int | None = None, config: EngineConfig | None = None, benchmarks: DataFrame | None = None) -> DataFrame:
+    """Rule outcomes per line: endpoint, naming, completeness, length, sights, method, balance, tolerance; `valid` if no rule fails;
+    errors and warnings (arrays of texts, in that order).
 
-    A line under a class that needs BFFB but run as BF is judged for balance under class 4.
+    A line under a class that needs BFFB but run as BF is judged for balance and tolerance under class 4. Naming is judged where
+    lines have a filename, tolerance where benchmarks (point_id, height) know both ends. config: the session's classes.
     """
+    config = config or EngineConfig()
+    cls = config.default_class if cls is None else cls
     back, fore = F.col("dist_back").cast("double"), F.col("dist_fore").cast("double")
-    sight = F.lit(R.MAX_SIGHT_M[cls])
+    of = lambda name, c=cls: config.value(c, name)
+    sight, single, total = of("max_sight_distance_geometric_m"), "max_single_distance_imbalance_m", "max_cumulative_distance_imbalance_m"
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    said = lambda c, *x: F.collect_list(F.when(c, F.struct("setup_number", *(y.alias(f"v{k}") for k, y in enumerate(x)))))
+    off = F.abs(back - fore)
     per = setups.groupBy("line_id").agg(
-        F.count(F.lit(1)).alias("n_setups"), count(F.col("height_diff").isNull()).alias("n_missing"), (F.sum(back + fore) / 2).alias("distance"),
-        (count(back > sight) + count(fore > sight)).alias("n_long_sights"), count(F.abs(back - fore) > R.SINGLE_IMBALANCE_M[cls]).alias("n_unbalanced"),
-        count(F.abs(back - fore) > R.SINGLE_IMBALANCE_M[4]).alias("n_unbalanced_4"), F.abs(F.sum(back - fore)).alias("imbalance"),
+        F.count(F.lit(1)).alias("n_setups"), count(F.col("height_diff").isNull()).alias("n_missing"), (F.sum(back + fore) / 2).alias("distance"), F.sum("height_diff").cast("double").alias("dh"),
+        (count(back > sight) + count(fore > sight)).alias("n_long_sights"), count(off > of(single)).alias("n_unbalanced"), count(off > of(single, 4)).alias("n_unbalanced_4"), F.abs(F.sum(back - fore)).alias("imbalance"),
+        said((back > sight) | (fore > sight), back, fore).alias("long"), said(off > min(of(single), of(single, 4)), off).alias("uneven"),
     )
     t = lines.join(per, "line_id", "left").fillna(0, ["n_setups", "n_missing", "distance", "n_long_sights", "n_unbalanced", "n_unbalanced_4", "imbalance"])
-    needs = F.lit(cls in R.NEEDS_BFFB)
+    needs = F.lit(of("required_method") == "BFFB")
     effective = F.when(needs & (F.col("method") == "BF"), F.lit(4)).otherwise(F.lit(cls))
     t = t.withColumn("endpoint", R.endpoint_status(F.col("end_point"))).withColumn("effective_class", effective)
-    most = R.MAX_LINE_KM.get(cls)
+    if benchmarks is not None:
+        t = with_heights(t, benchmarks)
+        t = t.withColumn("misclosure_mm", F.round((F.col("dh") - (F.col("end_height") - F.col("start_height"))) * 1000, 6)).drop("start_height", "end_height")
+    else:
+        t = t.withColumn("misclosure_mm", F.lit(None).cast("double"))
+    t = t.withColumn("tolerance_mm", config.tolerance(F.col("distance"), F.col("effective_class")))
+    most = of("max_line_length_km")
     lowered = F.col("effective_class") != cls
+    allowed = F.when(lowered, F.lit(of(total, 4))).otherwise(F.lit(of(total)))
+    one = F.when(lowered, F.lit(of(single, 4))).otherwise(F.lit(of(single)))
     rules: dict[str, Column] = {
         "endpoint_ok": F.col("endpoint").isin("benchmark", "unclear"),
+        "naming_ok": _naming_ok(F.col("filename"), F.col("start_point"), F.col("end_point")) if "filename" in lines.columns else F.lit(True),
         "complete": F.col("n_setups") > 0,
         "length_ok": F.lit(True) if most is None else F.col("distance") / 1000 <= most,
         "sights_ok": F.col("n_long_sights") == 0,
         "method_ok": ~needs | (F.col("method") != "FB"),
-        "balance_ok": F.when(lowered, (F.col("n_unbalanced_4") == 0) & (F.col("imbalance") <= R.TOTAL_IMBALANCE_M[4])).otherwise((F.col("n_unbalanced") == 0) & (F.col("imbalance") <= R.TOTAL_IMBALANCE_M[cls])),
+        "balance_ok": (F.when(lowered, F.col("n_unbalanced_4")).otherwise(F.col("n_unbalanced")) == 0) & (F.col("imbalance") <= allowed),
+        "tolerance_ok": F.coalesce(F.abs("misclosure_mm") <= F.col("tolerance_mm"), F.lit(True)),
     }
+    t = t.withColumns(rules)
     ok = F.lit(True)
-    for c in rules.values():
-        ok = ok & c
-    return t.select("line_id", "endpoint", "effective_class", "n_setups", "n_missing", "n_long_sights", *(c.alias(k) for k, c in rules.items()), ok.alias("valid"))
+    for c in rules:
+        ok = ok & F.col(c)
+    text = F.format_string
+    num = lambda x, d=2: text(f"%.{d}f", x)
+    along = lambda c, f: F.transform(F.array_sort(F.coalesce(F.col(c), F.array())), f)
+    sights = F.flatten(along("long", lambda x: F.array_compact(F.array(*(F.when(x[f"v{k}"] > sight, text(f"Setup %d {name}: %.2f m exceeds limit {sight} m", x["setup_number"], x[f"v{k}"])) for k, name in enumerate(("backsight", "foresight")))))))
+    uneven = F.filter(F.transform(F.array_sort(F.coalesce(F.col("uneven"), F.array())), lambda x: F.when(x["v0"] > one, text("Setup %d: distance imbalance %.2f m exceeds limit %.1f m", x["setup_number"], x["v0"], one))), lambda x: x.isNotNull())
+    msg = lambda bad, x: F.when(bad, x)
+    errors = F.concat(
+        F.array_compact(F.array(
+            msg(F.col("endpoint") == "empty", F.lit("End point is empty")), msg(F.col("endpoint") == "turning_point", F.concat(F.lit("End point "), "end_point", F.lit(" is a turning point"))),
+            msg(~F.col("naming_ok"), F.concat(F.lit("File name "), F.col("filename") if "filename" in lines.columns else F.lit(""), F.lit(" has the ends the other way round"))),
+            msg(~F.col("complete"), F.lit("No setups")), msg(~F.col("length_ok"), F.concat(F.lit("Length "), num(F.col("distance") / 1000), F.lit(f" km exceeds limit {most} km"))),
+        )),
+        F.when(F.col("sights_ok"), F.array().cast("array<string>")).otherwise(sights),
+        F.array_compact(F.array(msg(~F.col("method_ok"), F.concat(F.lit(f"Class H{cls} requires {of('required_method')}, not "), "method")))),
+        uneven,
+        F.array_compact(F.array(
+            msg(F.col("imbalance") > allowed, text("Cumulative distance imbalance %.2f m exceeds limit %.1f m", F.col("imbalance"), allowed)),
+            msg(~F.col("tolerance_ok"), text("Misclosure %.2f mm exceeds tolerance %.2f mm (class H%d)", F.abs("misclosure_mm"), F.col("tolerance_mm"), F.col("effective_class"))),
+        )),
+    )
+    warnings = F.array_compact(F.array(
+        msg(F.col("endpoint") == "unclear", F.concat(F.lit("End point "), "end_point", F.lit(" is neither benchmark nor turning point"))),
+        msg(~R.is_benchmark(F.col("start_point")), F.lit("Start point is no benchmark")),
+        msg(F.col("complete") & (F.col("n_setups") < of("min_setups")), text(f"Only %d setups, {of('min_setups')} expected", F.col("n_setups"))),
+        msg(F.col("n_missing") > 0, text("%d setups without height difference", F.col("n_missing"))), msg(lowered, F.lit("Method BF: judged as class H4")),
+    ))
+    return t.select(
+        "line_id", "endpoint", "effective_class", "n_setups", "n_missing", "n_long_sights", *rules, ok.alias("valid"), "misclosure_mm", "tolerance_mm", errors.alias("errors"), warnings.alias("warnings")
+    )
+
+
+def line_status(validated: DataFrame) -> DataFrame:
+    """line_id and the status that validation leaves a line in: the last rule that fails decides."""
+    s = F.lit("valid")
+    for name, c in (("invalid_endpoint", ~F.col("endpoint_ok")), ("naming_error", ~F.col("naming_ok")), ("incomplete", ~F.col("complete")), ("exceeded_tolerance", ~F.col("tolerance_ok"))):
+        s = F.when(c, name).otherwise(s)
+    return validated.select("line_id", s.alias("status"))
 
 
 def batch_summary(validated: DataFrame) -> DataFrame:
     bad = lambda c: F.count_if(~F.col(c))
     return validated.agg(
         F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("valid"), bad("endpoint_ok").alias("endpoint_errors"), bad("complete").alias("incomplete"),
-        bad("length_ok").alias("too_long"), bad("sights_ok").alias("long_sights"), bad("method_ok").alias("method_errors"), bad("balance_ok").alias("balance_errors"),
+        bad("naming_ok").alias("naming_errors"), bad("tolerance_ok").alias("tolerance_errors"), bad("length_ok").alias("too_long"), bad("sights_ok").alias("long_sights"), bad("method_ok").alias("method_errors"), bad("balance_ok").alias("balance_errors"),
         F.coalesce(F.try_divide(F.count_if("valid").cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0)).alias("pass_rate"),
     )
 
@@ -157,11 +242,11 @@ def bf_pairs(pairs: DataFrame, tolerance_mm: float | None = None) -> DataFrame:
 
 
 def validation_table(validated: DataFrame, totals: DataFrame) -> DataFrame:
-    """Per line the first failure by priority and the distance in the table's unit: km if lines are over 1000 m on average."""
+    """Per line the first failure by priority, the first two messages and the distance in the table's unit: km if lines are over 1000 m on average."""
     unit = totals.agg(F.when(F.avg("distance") > 1000, "km").otherwise("m").alias("unit"))
-    fails = [("endpoint", "endpoint_ok"), ("method", "method_ok"), ("incomplete", "complete"), ("length", "length_ok"), ("sights", "sights_ok"), ("balance", "balance_ok")]
+    fails = [("endpoint", "endpoint_ok"), ("naming", "naming_ok"), ("tolerance", "tolerance_ok"), ("method", "method_ok"), ("incomplete", "complete"), ("length", "length_ok"), ("sights", "sights_ok"), ("balance", "balance_ok")]
     first = F.lit("")
     for name, c in reversed(fails):
         first = F.when(~F.col(c), name).otherwise(first)
     j = validated.join(totals.select("line_id", "distance", "height_diff"), "line_id", "left").crossJoin(F.broadcast(unit))  # one row
-    return j.select("line_id", "valid", first.alias("primary_failure"), F.when(F.col("unit") == "km", F.col("distance") / 1000).otherwise(F.col("distance")).alias("distance"), "unit", "height_diff")
+    return j.select("line_id", "valid", first.alias("primary_failure"), F.when(F.col("unit") == "km", F.col("distance") / 1000).otherwise(F.col("distance")).alias("distance"), "unit", "height_diff", F.array_join(F.slice(F.concat("errors", "warnings"), 1, 2), "; ").alias("messages"))

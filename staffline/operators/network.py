@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regulations as R
+from ..functions.matrices import stability
 from ..sources.checkpoints import cut
 
 
@@ -62,56 +64,174 @@ def loops(obs: DataFrame, max_edges: int = 11, cls: int = 3) -> DataFrame:
     return one.select(F.array_join("seqs", ",").alias("loop"), F.size("seqs").alias("n_edges"), mm.alias("misclosure_mm"), "distance", R.tolerance_new(F.col("distance"), F.lit(cls)).alias("tolerance_mm")).withColumn("within", F.abs("misclosure_mm") <= F.col("tolerance_mm"))
 
 
-def least_squares(obs: DataFrame, fixed: DataFrame) -> DataFrame:
+DENSE = 600  # unknowns of a component that is solved with its inverse, so that its points have mean errors
+GROUPS = 64
+
+
+def _inverse_diagonal(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = np.linalg.cholesky(n)
+    inv = np.linalg.inv(low)
+    return inv.T @ inv, (inv**2).sum(0)
+
+
+def _gradients(i: np.ndarray, j: np.ndarray, w: np.ndarray, m: int, u: np.ndarray) -> np.ndarray:
+    """N x = u of a weighted Laplacian whose edges join i and j (m stands for a fixed point), by conjugate gradients.
+
+    The preconditioner is the diagonal; the matrix is never formed, so memory goes with the observations.
+    """
+    d = (np.bincount(i, w, m + 1) + np.bincount(j, w, m + 1))[:m]
+
+    def times(x: np.ndarray) -> np.ndarray:
+        x = np.append(x, 0.0)
+        flow = w * (x[i] - x[j])
+        return (np.bincount(i, flow, m + 1) - np.bincount(j, flow, m + 1))[:m]
+
+    x, r = np.zeros(m), u.copy()
+    z = r / d
+    p, rz = z, r @ z
+    least = 1e-13 * np.sqrt(u @ u) if len(u) else 0.0
+    for _ in range(20 * m + 100):
+        if np.sqrt(r @ r) <= least:
+            break
+        q = times(p)
+        a = rz / (p @ q)
+        x, r = x + a * p, r - a * q
+        z = r / d
+        rz, before = r @ z, rz
+        p = z + rz / before * p
+    return x
+
+
+def _solve(a: np.ndarray, b: np.ndarray, dh: np.ndarray, w: np.ndarray, fixed: dict):
+    """(points, heights, mean errors, is fixed, sigma0, status) of one component's observations a -> b."""
+    points, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    known = np.array([p in fixed for p in points.tolist()], bool)
+    h = np.array([fixed.get(p, np.nan) for p in points.tolist()], float)
+    m = int((~known).sum())
+    mse = np.where(known, 0.0, np.nan)
+    if not known.any():
+        return points, h, mse, known, 0.0, "DATUM_DEFECT"
+    if not m:
+        return points, h, mse, known, 0.0, "ALL_FIXED"
+    if len(a) <= m:
+        return points, h, mse, known, 0.0, "INSUFFICIENT"
+    place = np.where(known, m, np.cumsum(~known) - 1)
+    i, j = place[at[: len(a)]], place[at[len(a) :]]
+    base = np.where(known, h, 0.0)
+    rhs = dh - base[at[len(a) :]] + base[at[: len(a)]]
+    u = (np.bincount(j, w * rhs, m + 1) - np.bincount(i, w * rhs, m + 1))[:m]
+    diagonal = None
+    if m <= DENSE:
+        n = np.zeros((m + 1, m + 1))
+        np.add.at(n, (i, i), w)
+        np.add.at(n, (j, j), w)
+        np.subtract.at(n, (i, j), w)
+        np.subtract.at(n, (j, i), w)
+        try:
+            inverse, diagonal = _inverse_diagonal(n[:m, :m])
+        except np.linalg.LinAlgError:
+            return points, h, mse, known, 0.0, "SINGULAR"
+        x = inverse @ u
+    else:
+        x = _gradients(i, j, w, m, u)
+    h[~known] = x
+    v = h[at[len(a) :]] - h[at[: len(a)]] - dh
+    sigma = float(np.sqrt((w * v * v).sum() / (len(a) - m)))
+    if diagonal is not None:
+        mse[~known] = sigma * np.sqrt(diagonal)
+    return points, h, mse, known, sigma, "OK"
+
+
+def least_squares(obs: DataFrame, fixed: DataFrame, use_weights: bool = True) -> DataFrame:
     """Adjusted heights of each component: point, component, height, mse, is_fixed, sigma0, status.
 
-    The normal matrix is a weighted Laplacian, so it is summed up per component from grouped sums and solved by
-    Cholesky; weights are 1 / km. Components without fixed points have status DATUM_DEFECT; with no more observations
-    than unknowns, INSUFFICIENT; a matrix that is not positive definite, SINGULAR. fixed: point, height.
+    The normal matrix is a weighted Laplacian. Components of up to DENSE unknowns are solved by Cholesky, larger ones by
+    conjugate gradients without a matrix; their points have no mean error (null). Weights are 1 / km, or one without use_weights. Many components
+    share a task's call. Components without fixed points have status DATUM_DEFECT, of fixed points only ALL_FIXED; with no more
+    observations than unknowns, INSUFFICIENT; a matrix that is not positive definite, SINGULAR. fixed: point, height, and
+    maybe std_dev in m: a point with a positive one is observed, not fixed, under the weight (0.001 m / std_dev)^2.
     """
     comp = cut(components(obs))
-    own = obs.join(comp.withColumnRenamed("point", "from_pt"), "from_pt").select("component", "from_pt", "to_pt", F.col("height_diff").cast("double").alias("dh"), (F.col("distance").cast("double") / 1000).alias("km"))
-    known = comp.withColumnRenamed("component", "of").join(fixed.select("point", F.col("height").cast("double").alias("height")), "point").select("point", F.col("of").alias("part"), "height")
-
-    def solve(key, o: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        h = dict(zip(f.point, f.height, strict=True))
-        points = sorted({*o.from_pt, *o.to_pt})
-        free = [p for p in points if p not in h]
-        at = {p: i for i, p in enumerate(free)}
-        w = np.where(o.km > 0, 1 / o.km.where(o.km > 0, 1.0), 1.0)
-        status, mse, sigma = "OK", np.zeros(len(free)), 0.0
-        x = np.full(len(free), np.nan)
-        if not h:
-            status = "DATUM_DEFECT"
-        elif free and len(o) <= len(free):
-            status = "INSUFFICIENT"
-        elif free:
-            n, u = np.zeros((len(free), len(free))), np.zeros(len(free))
-            for a, b, dh, wt in zip(o.from_pt, o.to_pt, o.dh, w, strict=True):
-                i, j = at.get(a), at.get(b)
-                if i is not None:
-                    n[i, i] += wt
-                    u[i] += wt * ((h[b] if j is None else 0.0) - dh)
-                if j is not None:
-                    n[j, j] += wt
-                    u[j] += wt * ((h[a] if i is None else 0.0) + dh)
-                if i is not None and j is not None:
-                    n[i, j] -= wt
-                    n[j, i] -= wt
-            try:
-                low = np.linalg.cholesky(n)
-                x = np.linalg.solve(low.T, np.linalg.solve(low, u))
-                full = h | dict(zip(free, x, strict=True))
-                v = np.array([full[b] - full[a] - dh for a, b, dh in zip(o.from_pt, o.to_pt, o.dh, strict=True)])
-                sigma = float(np.sqrt((w * v * v).sum() / (len(o) - len(free))))
-                mse = sigma * np.sqrt((np.linalg.inv(low) ** 2).sum(0))
-            except np.linalg.LinAlgError:
-                status = "SINGULAR"
-        z = [(p, key[0], h.get(p, x[at[p]] if p in at else np.nan), mse[at[p]] if p in at else 0.0, p in h, sigma, status) for p in points]
-        return pd.DataFrame(z, columns=["point", "component", "height", "mse", "is_fixed", "sigma0", "status"])
-
+    km = F.when(F.col("distance") > 0, F.col("distance").cast("double") / 1000).otherwise(1.0)
+    own = obs.join(comp.withColumnRenamed("point", "from_pt"), "from_pt").select("component", "from_pt", "to_pt", F.col("height_diff").cast("double").alias("dh"), (1 / km if use_weights else F.lit(1.0)).alias("w"))
+    std = F.coalesce(F.col("std_dev"), F.lit(0.0)) if "std_dev" in fixed.columns else F.lit(0.0)
+    known = comp.join(fixed.select("point", F.col("height").cast("double").alias("h"), std.cast("double").alias("std")), "point").select("point", F.col("component").alias("part"), "h", "std")
+    kind = dict(obs.dtypes)["from_pt"]
+    groups = max(GROUPS, int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int").alias("g")
+
+    def solve(o: pa.Table, f: pa.Table) -> pa.Table:
+        """Every component of a group."""
+        parts = []
+        c, heights = o.column("component").to_pandas().to_numpy(), {}
+        for p, part, h, s in zip(*(f.column(x).to_pylist() for x in ("point", "part", "h", "std")), strict=True):
+            heights.setdefault(part, {})[p] = (h, s)
+        order = np.argsort(c, kind="stable")
+        a, b, dh, w = (o.column(x).to_pandas().to_numpy()[order] for x in ("from_pt", "to_pt", "dh", "w"))
+        c = c[order]
+        edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(c)), bool), c[1:] != c[:-1]]))
+        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(c)], strict=True):
+            mine = heights.get(c[lo], {})
+            hard = {p: h for p, (h, s) in mine.items() if not s > 0}
+            soft = [(p, h, s) for p, (h, s) in mine.items() if s > 0]
+            x = (a[lo:hi], b[lo:hi], dh[lo:hi], w[lo:hi])
+            if soft:  # observed from a datum of height zero, which is no point of the network
+                datum = -1 if kind != "string" else "\0"
+                x = (np.append(x[0], [datum] * len(soft)), np.append(x[1], [p for p, _, _ in soft]), np.append(x[2], [h for _, h, _ in soft]), np.append(x[3], [(0.001 / s) ** 2 for _, _, s in soft]))
+                hard[datum] = 0.0
+            p, h, mse, is_fixed, sigma, status = _solve(*x, hard)
+            keep = p != datum if soft else np.ones(len(p), bool)
+            k = int(keep.sum())
+            parts.append((p[keep].tolist(), [c[lo]] * k, h[keep], mse[keep], is_fixed[keep], np.full(k, sigma), [status] * k))
+        cols = [[y for part in parts for y in part[i]] for i in (0, 1, 6)]
+        nums = [np.concatenate([np.zeros(0), *(part[i] for part in parts)]) for i in (2, 3, 4, 5)]
+        null = lambda z: pa.array(z, pa.float64(), from_pandas=True)
+        return pa.table([pa.array(cols[0], o.schema.field("from_pt").type), pa.array(cols[1], o.schema.field("component").type), null(nums[0]), null(nums[1]), pa.array(nums[2].astype(bool)), pa.array(nums[3], pa.float64()), pa.array(cols[2], pa.string())], names=["point", "component", "height", "mse", "is_fixed", "sigma0", "status"])
+
+    both = own.select(group("component"), "*").groupBy("g").cogroup(known.select(group("part").alias("g2"), "*").groupBy("g2"))
+    return both.applyInArrow(solve, f"point {kind}, component {kind}, height double, mse double, is_fixed boolean, sigma0 double, status string")
+
+
+def heights_from_adjusted(obs: DataFrame, conditioned: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Heights by the adjusted differences of `conditional`; observations in no loop keep their own difference."""
+    own = obs.join(conditioned.select("obs_seq", "adjusted_dh"), "obs_seq", "left")
+    return least_squares(own.withColumn("height_diff", F.coalesce("adjusted_dh", F.col("height_diff").cast("double"))).drop("adjusted_dh"), fixed)
+
+
+def from_lines(lines: DataFrame, totals: DataFrame, only_used: bool = True) -> DataFrame:
+    """Observations of lines for the network operators: obs_seq, from_pt, to_pt, height_diff, distance."""
+    used = lines.filter("is_used") if only_used else lines
+    return used.join(totals, "line_id").select(F.col("line_id").alias("obs_seq"), F.col("start_point").alias("from_pt"), F.col("end_point").alias("to_pt"), "height_diff", "distance")
+
+
+def simple_adjustment(spark, observations: list[dict], fixed: dict) -> DataFrame:
+    """least_squares of records with from, to, dh (m) and dist (m), and a mapping of fixed points to heights."""
+    obs = spark.createDataFrame([(k, str(o["from"]), str(o["to"]), float(o["dh"]), float(o.get("dist", 1000.0))) for k, o in enumerate(observations)], "obs_seq long, from_pt string, to_pt string, height_diff double, distance double")
+    return least_squares(obs, spark.createDataFrame([(str(p), float(h)) for p, h in fixed.items()], "point string, height double"))
+
+
+def diagnostics(obs: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Per component of up to DENSE unknowns: component, unknowns, rank, condition of the normal matrix and what it means."""
+    comp = cut(components(obs))
+    km = F.when(F.col("distance") > 0, F.col("distance").cast("double") / 1000).otherwise(1.0)
+    hard = fixed.select(F.col("point").alias("p"), F.lit(True).alias("known"))
+    own = obs.join(comp.withColumnRenamed("point", "from_pt"), "from_pt").join(hard.select(F.col("p").alias("from_pt"), F.col("known").alias("fa")), "from_pt", "left").join(hard.select(F.col("p").alias("to_pt"), F.col("known").alias("fb")), "to_pt", "left")
+    own = own.select("component", "from_pt", "to_pt", (1 / km).alias("w"), F.coalesce("fa", F.lit(False)).alias("fa"), F.coalesce("fb", F.lit(False)).alias("fb"))
     kind = dict(obs.dtypes)["from_pt"]
-    return own.groupBy("component").cogroup(known.groupBy("part")).applyInPandas(solve, f"point {kind}, component {kind}, height double, mse double, is_fixed boolean, sigma0 double, status string")
+
+    def look(key, o: pd.DataFrame) -> pd.DataFrame:
+        free = sorted({*o.from_pt[~o.fa], *o.to_pt[~o.fb]})
+        if not free or len(free) > DENSE:
+            return pd.DataFrame([(key[0], len(free), None, None)], columns=["component", "unknowns", "rank", "condition"])
+        at, n = {p: i for i, p in enumerate(free)}, np.zeros((len(free) + 1, len(free) + 1))
+        i, j = o.from_pt.map(at).fillna(len(free)).astype(int), o.to_pt.map(at).fillna(len(free)).astype(int)
+        for r, c, s in ((i, i, 1), (j, j, 1), (i, j, -1), (j, i, -1)):
+            np.add.at(n, (r, c), s * o.w)
+        s = stability(n[:-1, :-1])
+        return pd.DataFrame([(key[0], len(free), s.rank, s.condition)], columns=["component", "unknowns", "rank", "condition"])
+
+    out = own.groupBy("component").applyInPandas(look, f"component {kind}, unknowns int, rank int, condition double")
+    return out.withColumn("meaning", R.condition_meaning(F.col("condition")))
 
 
 def residuals(obs: DataFrame, heights: DataFrame) -> DataFrame:
@@ -119,7 +239,7 @@ def residuals(obs: DataFrame, heights: DataFrame) -> DataFrame:
     h = lambda end: heights.select(F.col("point").alias(f"{end}_pt"), F.col("height").alias(f"{end}_h"))
     j = obs.join(h("from"), "from_pt").join(h("to"), "to_pt")
     v = (F.col("to_h") - F.col("from_h") - F.col("height_diff").cast("double")) * 1000
-    return j.select("obs_seq", "from_pt", "to_pt", v.alias("v_mm"), (F.col("distance").cast("double") / 1000).alias("km")).withColumn("severity", R.residual_severity(F.col("v_mm")))
+    return j.select("obs_seq", "from_pt", "to_pt", v.alias("v_mm"), (F.col("distance").cast("double") / 1000).alias("km")).withColumn("severity", R.residual_severity(F.round("v_mm", 6)))
 
 
 def statistics(res: DataFrame) -> DataFrame:
@@ -176,28 +296,55 @@ def loop_misclosure(obs: DataFrame, incidence: DataFrame, cls: int = 3) -> DataF
 def conditional(obs: DataFrame, incidence: DataFrame) -> DataFrame:
     """Adjustment by conditions: obs_seq, component, v_mm, adjusted_dh, sigma0 of observations in loops.
 
-    B holds the loops' signs and P is 1 / km, so N = B P^-1 B' is a grouped sum over pairs of loops that share an observation; its correlates
-    are solved per component and v = P^-1 B' k is a join again. incidence: independent loops (see basis_loops).
+    B holds the loops' signs and P is 1 / km; the correlates k solve B P^-1 B' k = -w and v = P^-1 B' k. The loops of a component
+    meet in one task as (loop, observation, sign) rows: up to DENSE loops the matrix is formed, beyond conjugate gradients
+    run on the rows themselves. incidence: independent loops (see basis_loops).
     """
     km = F.when(F.col("distance") > 0, F.col("distance").cast("double") / 1000).otherwise(1.0)
-    i = cut(incidence.join(obs.select("obs_seq", F.col("height_diff").cast("double").alias("dh"), km.alias("km")), "obs_seq"))
-    one, two = (i.select("obs_seq", F.col("loop_id").alias(k), F.col("sign").alias(f"s{k}")) for k in ("p", "q"))
-    n = one.join(two, "obs_seq").join(i.groupBy("obs_seq").agg(F.first("km").alias("km"), F.min("component").alias("component")), "obs_seq")
-    n = n.groupBy("component", "p", "q").agg(F.sum(F.col("sp") * F.col("sq") * F.col("km")).alias("value"))
-    w = i.groupBy("component", "loop_id").agg(F.sum(F.col("sign") * F.col("dh")).alias("w"))
-    kind = dict(incidence.dtypes)["component"]
+    i = incidence.join(obs.select("obs_seq", F.col("height_diff").cast("double").alias("dh"), km.alias("km")), "obs_seq")
+    groups = max(GROUPS, int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def one(loop: np.ndarray, seq: np.ndarray, sign: np.ndarray, dh: np.ndarray, km: np.ndarray):
+        ids, first, o = np.unique(seq, return_index=True, return_inverse=True)
+        loops, c = np.unique(loop, return_inverse=True)
+        w, p = np.bincount(c, sign * dh), km[first]
+        if len(loops) <= DENSE:
+            b = np.zeros((len(loops), len(ids)))
+            b[c, o] = sign
+            k = np.linalg.lstsq((b * p) @ b.T, -w, rcond=None)[0]
+        else:
+            times = lambda x: np.bincount(c, sign * (p * np.bincount(o, sign * x[c]))[o])
+            k, r = np.zeros(len(loops)), -w
+            d, rr = r, r @ r
+            for _ in range(20 * len(loops)):
+                if rr <= 1e-26 * (w @ w):
+                    break
+                q = times(d)
+                step = rr / (d @ q)
+                k, r = k + step * d, r - step * q
+                rr, before = r @ r, rr
+                d = r + rr / before * d
+        return ids, p * np.bincount(o, sign * k[c]), dh[first], float(np.sqrt(max(-(k @ w), 0.0) / len(loops)))
+
+    def solve(t: pa.Table) -> pa.Table:
+        comp = t.column("component").to_pandas().to_numpy()
+        order = np.argsort(comp, kind="stable")
+        cols = [t.column(x).to_numpy()[order] for x in ("loop_id", "obs_seq", "sign", "dh", "km")]
+        comp = comp[order]
+        edge = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]])).tolist()
+        seq, of, v, dh, sigma = [], [], [], [], []
+        for lo, hi in zip(edge, [*edge[1:], len(comp)], strict=True):
+            ids, vs, d, s0 = one(*(x[lo:hi] for x in cols))
+            seq.append(ids)
+            of += [comp[lo]] * len(ids)
+            v.append(vs * 1000)
+            dh.append(d + vs)
+            sigma.append(np.full(len(ids), s0))
+        cat = np.concatenate
+        return pa.table([pa.array(cat(seq), pa.int64()), pa.array(of, t.schema.field("component").type), pa.array(cat(v)), pa.array(cat(dh)), pa.array(cat(sigma))], names=["obs_seq", "component", "v_mm", "adjusted_dh", "sigma0"])
 
-    def solve(key, n: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(w.loop_id.to_numpy())
-        a = np.zeros((len(ids), len(ids)))
-        a[np.searchsorted(ids, n.p), np.searchsorted(ids, n.q)] = n.value
-        rhs = w.set_index("loop_id").w.loc[ids].to_numpy()
-        k = np.linalg.lstsq(a, -rhs, rcond=None)[0]
-        return pd.DataFrame({"loop_id": ids, "k": k, "sigma0": np.sqrt(max(float(-k @ rhs), 0.0) / len(ids))})
-
-    k = n.groupBy("component").cogroup(w.groupBy("component")).applyInPandas(solve, "loop_id long, k double, sigma0 double")
-    v = i.join(k, "loop_id").groupBy("obs_seq", "component").agg((F.first("km") * F.sum(F.col("sign") * F.col("k"))).alias("v"), F.first("dh").alias("dh"), F.first("sigma0").alias("sigma0"))
-    return v.select("obs_seq", F.col("component").cast(kind).alias("component"), (F.col("v") * 1000).alias("v_mm"), (F.col("dh") + F.col("v")).alias("adjusted_dh"), "sigma0")
+    kind = dict(incidence.dtypes)["component"]
+    return i.withColumn("g", F.pmod(F.xxhash64("component"), F.lit(groups))).groupBy("g").applyInArrow(lambda t: solve(t), f"obs_seq long, component {kind}, v_mm double, adjusted_dh double, sigma0 double")
 
 
 def residual_map(obs: DataFrame, res: DataFrame) -> DataFrame:

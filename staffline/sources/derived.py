@@ -1,4 +1,4 @@
-"""Leveling tables derived from the star schema: setups, lines, benchmarks and a small network per region."""
+"""Leveling tables derived from the star schema: setups, lines, benchmarks and a network."""
 
 from __future__ import annotations
 
@@ -49,19 +49,18 @@ def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """obs_seq, region, from_pt, to_pt, height_diff, distance: a ring with a chord per region."""
-    by = Window.partitionBy("n_regionkey")
-    k = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", (F.row_number().over(by.orderBy("n_nationkey")) - 1).alias("p"), F.count(F.lit(1)).over(by).alias("n"))
-    a = k.select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("from_pt"), "p", "n")
-    b = k.select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("to_pt"), F.col("p").alias("q"))
-    pairs = a.join(b, "region")
-    ring = pairs.filter(F.col("q") == (F.col("p") + 1) % F.col("n")).withColumn("seq", F.col("p").cast("long"))
-    chord = pairs.filter((F.col("p") == 0) & (F.col("q") == 2)).withColumn("seq", F.col("n"))
-    f, t = F.col("from_pt"), F.col("to_pt")
-    return ring.unionByName(chord).select(
-        (F.col("region") * 100 + F.col("seq")).cast("long").alias("obs_seq"), "region", "from_pt", "to_pt",
-        (((t - f) * 0.25).cast("decimal(12,5)") + (((f * 13 + t * 7) % 11 - 5) * 0.001).cast("decimal(12,5)")).cast("decimal(12,5)").alias("height_diff"),
-        (F.lit(500) + (f * 31 + t * 17) % 40 * 50).cast("decimal(12,3)").alias("distance"),
+    """obs_seq, region, from_pt, to_pt, height_diff, distance: six orders in a row make a ring of five points with a chord.
+
+    Point p of ring r is 5 r + p; the chord joins points 0 and 2. Rings grow in number with the orders.
+    """
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    ring, seq = F.floor(F.col("k") / 6), F.col("k") % 6
+    a, b = F.when(seq == 5, 0).otherwise(seq), F.when(seq == 5, 2).otherwise((seq + 1) % 5)
+    error = ((F.col("k") * 13 + F.col("c") * 7) % 11 - 5) * F.lit("0.001").cast("decimal(4,3)")
+    return o.select(
+        F.col("k").alias("obs_seq"), ring.alias("region"), (ring * 5 + a).alias("from_pt"), (ring * 5 + b).alias("to_pt"),
+        ((b - a) * F.lit("0.25").cast("decimal(3,2)") + error).cast("decimal(12,5)").alias("height_diff"),
+        (F.lit(500) + (F.col("k") * 31 + F.col("c") * 17) % 40 * 50).cast("decimal(12,3)").alias("distance"),
     )
 
 
