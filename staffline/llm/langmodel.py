@@ -44,7 +44,7 @@ TABLE = 1 << 18
 WARM_TOKENS = 1_000_000
 LANES = 256
 SPAN = 16
-FAN_IN, LEVELS = 32, 3
+FAN_IN, LEVELS = 8, 4
 RATE = 0.08
 WINDOW = 32
 SEED = 17
