@@ -43,7 +43,7 @@ HIDDEN = 24
 TABLE = 1 << 18
 WARM_TOKENS = 1_000_000
 LANES = 256
-SPAN = 16
+SPAN = 32
 FAN_IN, LEVELS = 8, 4
 RATE = 0.08
 WINDOW = 32
