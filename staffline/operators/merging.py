@@ -68,3 +68,32 @@ def apply_merge(lines: DataFrame, chains: DataFrame) -> DataFrame:
     j = lines.join(used, "line_id", "left")
     old = F.col("status") if "status" in lines.columns else F.lit("valid")
     return j.withColumn("status", F.when(F.col("__merged"), "excluded_from_merge").otherwise(old)).withColumn("is_used", F.col("is_used") & F.col("__merged").isNull()).drop("__merged")
+
+
+def merge_summary(chains: DataFrame, lines: DataFrame, totals: DataFrame) -> DataFrame:
+    """Per chain: num_segments, start_point, end_point, total_distance, total_setups, segments (array in order), common_nodes."""
+    parts = chains.select("chain_id", F.posexplode(F.arrays_zip("line_ids", "reversed")).alias("pos", "x")).select("chain_id", "pos", F.col("x.line_ids").alias("line_id"), F.col("x.reversed").alias("needs_reversal"))
+    name = F.col("filename") if "filename" in lines.columns else F.concat(F.lit("L"), F.col("line_id").cast("string"))
+    j = parts.join(lines.withColumn("__name", name).select("line_id", "__name", "start_point", "end_point"), "line_id").join(totals, "line_id", "left")
+    seg = F.struct("pos", F.col("__name").alias("filename"), F.concat("start_point", F.lit("→"), "end_point").alias("direction"), "needs_reversal", F.coalesce("distance", F.lit(0.0)).alias("distance"), F.coalesce("n_setups", F.lit(0)).alias("setups"))
+    first = F.when(F.col("needs_reversal"), F.col("end_point")).otherwise(F.col("start_point"))
+    last = F.when(F.col("needs_reversal"), F.col("start_point")).otherwise(F.col("end_point"))
+    g = j.groupBy("chain_id").agg(
+        F.count(F.lit(1)).alias("num_segments"), F.min_by(first, "pos").alias("start_point"), F.max_by(last, "pos").alias("end_point"), F.sum(F.coalesce("distance", F.lit(0.0))).alias("total_distance"),
+        F.sum(F.coalesce("n_setups", F.lit(0))).alias("total_setups"), F.array_sort(F.collect_list(seg)).alias("segments"),
+    )
+    return g.join(chains.select("chain_id", "common_nodes"), "chain_id")
+
+
+def find_mergeable_lines(lines: DataFrame, totals: DataFrame) -> DataFrame:
+    """merge_summary of all candidates."""
+    return merge_summary(merge_candidates(lines), lines, totals)
+
+
+def merge_selected_lines(lines: DataFrame, setups: DataFrame, chosen: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(lines, setups) merged from the longest chain of the chosen line ids (a bounded choice); raises if they make none."""
+    own = lines.filter(F.col("line_id").isin(*chosen)).withColumn("is_used", F.lit(True))
+    best = cut(merge_candidates(own).orderBy(F.desc(F.size("line_ids")), "chain_id").limit(1))
+    if best.isEmpty():
+        raise ValueError("the chosen lines don't make a chain")
+    return merge_lines(best, lines, setups)

@@ -176,7 +176,7 @@ def least_squares(obs: DataFrame, fixed: DataFrame, use_weights: bool = True) ->
             soft = [(p, h, s) for p, (h, s) in mine.items() if s > 0]
             x = (a[lo:hi], b[lo:hi], dh[lo:hi], w[lo:hi])
             if soft:  # observed from a datum of height zero, which is no point of the network
-                datum = -1 if kind != "string" else "\0"
+                datum = -1 if kind != "string" else "\x01datum"
                 x = (np.append(x[0], [datum] * len(soft)), np.append(x[1], [p for p, _, _ in soft]), np.append(x[2], [h for _, h, _ in soft]), np.append(x[3], [(0.001 / s) ** 2 for _, _, s in soft]))
                 hard[datum] = 0.0
             p, h, mse, is_fixed, sigma, status = _solve(*x, hard)

@@ -45,10 +45,10 @@ def parse_trimble_lines(spark, sf):
     return _round(I.parse_trimble(I.render_trimble(D.stations(spark, sf)))[1].drop("path"), "total_distance", "total_height_diff")
 
 
-@query(_STATIONS + """, ends AS (SELECT DISTINCT filename, start_point, CASE WHEN end_point <> '0' THEN end_point WHEN n_setups > 1 THEN CAST(n_setups - 1 AS VARCHAR) ELSE start_point END AS end_point,
+@query(_STATIONS + """, fe AS (SELECT DISTINCT filename, start_point, CASE WHEN end_point <> '0' THEN end_point WHEN n_setups > 1 THEN CAST(n_setups - 1 AS VARCHAR) ELSE start_point END AS end_point,
     n_setups, distance, total_dh FROM stations)
   SELECT filename, start_point, end_point, 'BF' AS method, n_setups, round(distance, 9) AS total_distance, round(total_dh, 9) + 0.0 AS total_height_diff,
-    CASE WHEN end_point SIMILAR TO '[0-9]+' THEN 'invalid_endpoint' ELSE 'valid' END AS status FROM ends""")
+    CASE WHEN end_point SIMILAR TO '[0-9]+' THEN 'invalid_endpoint' ELSE 'valid' END AS status FROM fe""")
 def parse_leica_lines(spark, sf):
     return _round(I.parse_leica(I.render_gsi(D.stations(spark, sf)))[1].drop("path"), "total_distance", "total_height_diff")
 
@@ -98,15 +98,6 @@ def export_rez(spark, sf):
     return X.rez(_rez_lines(spark, sf)).select(F.col("seq").cast("long").alias("line_id"), "line")
 
 
-@query()
-def export_fa1(spark, sf):
-    obs, fixed = D.network(spark, sf), _fixed(spark, sf)
-    h = N.least_squares(obs, fixed)
-    res = N.residuals(obs, h)
-    own = obs.select("obs_seq", F.col("from_pt").cast("string").alias("from_point"), F.col("to_pt").cast("string").alias("to_point"), "height_diff", "distance")
-    return X.fa1(own, res, h, N.statistics(res))
-
-
 @query("SELECT point_id, 0.0::DOUBLE AS height FROM (SELECT start_point AS point_id FROM lines UNION SELECT end_point FROM lines) WHERE point_id SIMILAR TO '.*[A-Za-z].*'")
 def benchmarks_from_lines(spark, sf):
     return X.benchmarks_from_lines(D.lines(spark, sf)).select("point_id", "height")
@@ -122,28 +113,11 @@ def schematic_coords(spark, sf):
     return _round(X.schematic_coordinates(_ends(spark, sf)), "lon", "lat").drop("height")
 
 
-@query()
-def geojson_lines(spark, sf):
-    return X.geojson_lines(_rez_lines(spark, sf), X.schematic_coordinates(_ends(spark, sf)))
-
-
-@query()
-def geojson_points(spark, sf):
-    return X.geojson_points(_ends(spark, sf), X.schematic_coordinates(_ends(spark, sf)))
-
-
-@query()
-def qgis_lines(spark, sf):
-    return X.layer_selects(_rez_lines(spark, sf))
-
-
 @query(_STATIONS + """, h AS (SELECT line_id, to_point AS point, setup_number, start_height + sum(CAST(s.height_diff AS DOUBLE) - misclosure_mm / 1000 * (CAST(dist_back + dist_fore AS DOUBLE) / 2 / s.distance))
     OVER (PARTITION BY line_id ORDER BY setup_number) AS height FROM stations s JOIN (SELECT line_id, misclosure_mm, start_height FROM mis) USING (line_id))
   SELECT line_id, point, round(arg_max(height, setup_number) + 1.3e-9, 8) AS height FROM h GROUP BY 1, 2""")
 def intermediate_heights(spark, sf):
-    adjusted = L.line_adjust(D.setups(spark, sf), D.lines(spark, sf), D.benchmarks(spark, sf))
-    to = D.stations(spark, sf).select("line_id", "setup_number", "to_point")
-    out = L.intermediate_heights(adjusted.join(to, ["line_id", "setup_number"]))
+    out = L.intermediate_heights(L.line_adjust(D.stations(spark, sf), D.lines(spark, sf), D.benchmarks(spark, sf)))
     return _round(out.withColumn("height", F.col("height") + F.lit(1.3e-9)), "height", digits=8)  # off the ties, which sums in another order break
 
 

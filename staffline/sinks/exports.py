@@ -82,29 +82,56 @@ def fa0(obs: DataFrame, benchmarks: DataFrame, project: str = "project.rez", onl
     return head.unionByName(marks).unionByName(open_).unionByName(body).unionByName(end)
 
 
-def fa1(obs: DataFrame, residuals: DataFrame, heights: DataFrame, statistics: DataFrame) -> DataFrame:
-    """Adjustment report: residuals (obs_seq, v_mm), statistics (total_km, total_mm, k), heights (point, height, mse, is_fixed).
+def ranked(rows: DataFrame, key: str) -> DataFrame:
+    """rows with a rank from 1 in order of a unique key, by range-sorted partitions and their sizes: no single-task window."""
+    s = cut(rows.orderBy(key)).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
+    sizes = s.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__base", F.sum("__n").over(Window.partitionBy().orderBy("__part")) - F.col("__n"))  # a row a partition
+    return s.join(F.broadcast(sizes), "__part").withColumn("rank", F.col("__base") + F.col("__at") + 1).drop("__part", "__at", "__n", "__base")
 
-    The allowance is 3 mm per root km; delta is signed; `**` marks residuals beyond it.
+
+def _texts(df: DataFrame, section: int, *lines: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([(section, f"{k:03}", x) for k, x in enumerate(lines)], "section int, seq string, line string")
+
+
+def fa1(obs: DataFrame, residuals: DataFrame, heights: DataFrame, statistics: DataFrame, project: str = "project.rez", iteration: int = 1) -> DataFrame:
+    """Adjustment report: residuals (obs_seq, v_mm), statistics (total_km, total_mm, k), heights (point, height, mse, is_fixed, sigma0).
+
+    Data, residuals, statistics, heights. The allowance is 3 mm per root km; delta is signed; `**` marks residuals beyond it.
+    A residual or a section's rows may be followed by blank lines, which are part of the row's text.
     """
+    pad, star = " " * 43, " " * 42 + "******"
+    h = ranked(heights.withColumn("p", F.col("point").cast("string")), "p")
+    n = heights.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("sigma0"), F.lit(0.0)).alias("s"))
+    rank = F.lpad(F.col("rank").cast("string"), 20, "0")
+    out = _texts(obs, 0, "", "", pad + "DATA", star, "").unionByName(_rows(n, 1, F.lit(""), layout(pad + "{}   2            " + f"{project:40}9\n\n\n", F.col("n"))))
+    out = out.unionByName(_texts(obs, 2, pad + "DATA", star)).unionByName(_rows(h, 3, rank, layout(" " * 42 + "{:3}  {:8}{:12.3f}", F.col("rank"), F.col("p"), F.when(F.col("is_fixed"), F.col("height")).otherwise(0.0))))
+    out = out.unionByName(_texts(obs, 4, "0", "", "1", "", "", "         FROM   TO        DH        DISTANCE   DH-(H2-H1)     ALWD      DELTA    G/B   KOD  YEARS  DURATION   NO.SH", "        " + "-" * 107, ""))
     o = obs.join(residuals.select("obs_seq", (F.col("v_mm") / 1000).alias("v")), "obs_seq", "left").fillna(0.0, ["v"])
     o = o.withColumn("allowed", F.when(F.col("distance") > 0, 0.003 * F.sqrt(F.col("distance").cast("double") / 1000)).otherwise(0.0))
     o = o.withColumn("mark", F.when(F.abs("v") <= F.col("allowed"), "  ").otherwise("**"))
-    table = layout("      {:8}{:8}{:12.5f}{:8.0f}.{:12.5f}    {:.6f}{:12.6f}  {}    0    0- 0      0", F.col("from_point"), F.col("to_point"), F.col("height_diff").cast("double"), F.col("distance").cast("double"), F.col("v"), F.col("allowed"), F.col("v") - F.col("allowed"), F.col("mark"))
-    sums = layout("                   SDIST(KM)={:9.3f}   SDIF(MM)={:12.1f}   COEFF_CLASS K={:10.1f}", F.col("total_km"), F.col("total_mm"), F.col("k"))
-    h = heights.withColumn("p", F.col("point").cast("string"))
+    table = layout("      {:8}{:8}{:12.5f}{:8.0f}.{:12.5f}    {:.6f}{:12.6f}  {}    0    0- 0      0\n", F.col("from_point"), F.col("to_point"), F.col("height_diff").cast("double"), F.col("distance").cast("double"), F.col("v"), F.col("allowed"), F.col("v") - F.col("allowed"), F.col("mark"))
+    sums = layout("                   SDIST(KM)={:9.3f}   SDIF(MM)={:12.1f}   COEFF_CLASS K={:10.1f}\n", F.col("total_km"), F.col("total_mm"), F.col("k"))
+    out = out.unionByName(_rows(o, 5, _key("obs_seq"), table)).unionByName(_texts(obs, 6, ",                 " + "=" * 75)).unionByName(_rows(statistics, 7, F.lit(""), sums))
+    out = out.unionByName(_texts(obs, 8, f"1{' ' * 45}ITERATION  NO. {iteration}", "", " " * 39 + project, "")).unionByName(_rows(n, 9, F.lit(""), layout(" " * 37 + "M.S.E. OF UNIT WEIGHT = {:10.6f}\n", F.col("s"))))
+    out = out.unionByName(_texts(obs, 10, " " * 34 + "NO.      ADJUSTED     APPROX          DIF         M.S.E.", ""))
     fixed, free = h.filter("is_fixed"), h.filter("not is_fixed")
-    out = _rows(o, 0, _key("obs_seq"), table).unionByName(_rows(statistics, 1, F.lit(""), sums))
-    out = out.unionByName(_rows(fixed, 2, F.col("p"), layout(" " * 34 + "{:8}{:12.5f}", F.col("p"), F.col("height"))))
-    return out.unionByName(_rows(free, 2, F.col("p"), layout(" " * 34 + "{:8}{:12.5f}{:12.5f}{:12.5f}{:12.6f}", F.col("p"), F.col("height"), F.lit(0.0), F.col("height"), F.col("mse"))))
+    out = out.unionByName(_rows(fixed, 11, rank, layout(" " * 30 + "{:3} {:8}{:12.5f}", F.col("rank"), F.col("p"), F.col("height"))))
+    return out.unionByName(_rows(free, 11, rank, layout(" " * 30 + "{:3} {:8}{:12.5f}{:12.5f}{:12.5f}{:12.6f}", F.col("rank"), F.col("p"), F.col("height"), F.lit(0.0), F.col("height"), F.coalesce("mse", F.lit(0.0)))))
+
+
+def rez_header(project: str, at: str, source: bool = True) -> str:
+    """Comment lines and column titles of a REZ file; at: the time that the file states."""
+    title = f"{'From':<12}{'To':<12}{'Height Diff':>14}{'Distance':>12}{'Setups':>8}{'Status':>12}"
+    rule = "-" * (110 if source else 70)
+    return f"# REZ Summary File - {project}\n# Generated: {at}\n#{'=' * 78}\n\n{title}" + (f"  {'Source File':<30}" if source else "") + f"\n{rule}\n"
 
 
-def rez(lines: DataFrame, only_used: bool = True) -> DataFrame:
-    """Summary rows of lines: line_id, ends, height_diff, distance, n_setups, status, filename."""
+def rez(lines: DataFrame, only_used: bool = True, source: bool = True) -> DataFrame:
+    """Summary rows of lines: line_id, ends, height_diff, distance, n_setups, status, and filename with source."""
     ln = lines.filter("is_used") if only_used else lines
     status = F.when(F.col("status") == "valid", "OK").otherwise(F.col("status"))
     d = lambda c: F.col(c).cast("double")
-    return _rows(ln, 0, _key("line_id"), layout("{:<12}{:<12}{:>14.5f}{:>12.2f}{:>8}{:>12}  {:<30}", F.col("start_point"), F.col("end_point"), d("height_diff"), d("distance"), F.col("n_setups"), status, F.coalesce("filename", F.lit("Unknown"))))
+    return _rows(ln, 0, _key("line_id"), layout("{:<12}{:<12}{:>14.5f}{:>12.2f}{:>8}{:>12}" + "  {:<30}" * source, F.col("start_point"), F.col("end_point"), d("height_diff"), d("distance"), F.col("n_setups"), status, *([F.coalesce("filename", F.lit("Unknown"))] if source else [])))
 
 
 def write_text(rows: DataFrame, path: str, encoding: str = "cp1255", header: str = "") -> None:
@@ -120,10 +147,9 @@ def schematic_coordinates(points: DataFrame) -> DataFrame:
 
     The rank over all points comes from a range-sorted count per partition, not from one window in one task.
     """
-    s = cut(points.select("point_id").distinct().orderBy("point_id")).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
-    sizes = s.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy())).withColumn("base", F.sum("n").over(Window.partitionBy().orderBy("part")) - F.col("n"))
-    angle = 2 * math.pi * (F.col("base") + F.col("at")) / F.col("total")
-    return s.join(sizes, "part").select("point_id", (34.8 + 0.01 * F.cos(angle)).alias("lon"), (31.5 + 0.01 * F.sin(angle)).alias("lat"), F.lit(0.0).alias("height"))
+    s = ranked(points.select("point_id").distinct(), "point_id").crossJoin(F.broadcast(points.agg(F.countDistinct("point_id").alias("total"))))  # one row
+    angle = 2 * math.pi * (F.col("rank") - 1) / F.col("total")
+    return s.select("point_id", (34.8 + 0.01 * F.cos(angle)).alias("lon"), (31.5 + 0.01 * F.sin(angle)).alias("lat"), F.lit(0.0).alias("height"))
 
 
 def _place(c: str) -> Column:
@@ -156,11 +182,30 @@ def write_geojson(features: DataFrame, path: str, name: str = "Leveling Network"
         f.write("]}\n")
 
 
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit("'"), F.replace(F.coalesce(c, F.lit("")), F.lit("'"), F.lit("''")), F.lit("'"))
+
+
 def layer_selects(lines: DataFrame) -> DataFrame:
     """(line_id, part): the SELECT of each used line of a virtual map layer; every text is escaped."""
-    q = lambda c: F.concat(F.lit("'"), F.replace(F.coalesce(c, F.lit("")), F.lit("'"), F.lit("''")), F.lit("'"))
+    q, num = _quoted, lambda c, d: F.format_string(f"%.{d}f", F.col(c).cast("double"))
     part = F.concat(
         F.lit("SELECT "), F.col("line_id").cast("string"), F.lit(" as id, "), q(F.col("filename")), F.lit(" as filename, "), q(F.col("start_point")), F.lit(" as start_point, "), q(F.col("end_point")), F.lit(" as end_point, "),
-        q(F.col("method")), F.lit(" as method, "), F.col("distance").cast("string"), F.lit(" as distance_m, "), F.col("height_diff").cast("string"), F.lit(" as height_diff_m, "), F.col("n_setups").cast("string"), F.lit(" as num_setups"),
+        q(F.col("method")), F.lit(" as method, "), num("distance", 4), F.lit(" as distance_m, "), num("height_diff", 5), F.lit(" as height_diff_m, "), F.col("n_setups").cast("string"), F.lit(" as num_setups"),
     )
     return lines.filter("is_used").select("line_id", part.alias("part"))
+
+
+def point_selects(points: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """(point_id, part): the SELECT of each point with coordinates of a virtual map layer."""
+    j = points.select("point_id").distinct().join(coordinates, "point_id")
+    num = lambda c: F.format_string("%.9f", F.col(c).cast("double"))
+    kind = F.when(F.col("point_id").rlike("^[0-9]+$"), "turning_point").otherwise("benchmark")
+    part = F.concat(F.lit("SELECT "), _quoted(F.col("point_id")), F.lit(" as point_id, '"), kind, F.lit("' as kind, "), num("height"), F.lit(" as height, make_point("), num("lon"), F.lit(", "), num("lat"), F.lit(") as geometry"))
+    return j.select("point_id", part.alias("part"))
+
+
+def layer_query(selects: DataFrame, key: str) -> str:
+    """One virtual layer's query; without rows, a query of none. A layer is one text, so it is put together on the driver."""
+    parts = [r.part for r in selects.orderBy(key).toLocalIterator()]
+    return " UNION ALL ".join(parts) or "SELECT NULL as id WHERE 1 = 0"

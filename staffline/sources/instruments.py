@@ -43,6 +43,16 @@ def read_files(spark: SparkSession, paths: str | list[str], glob: str = "*.{DAT,
     return f.withColumn("format", detect_format(F.col("path"), F.col("text")))
 
 
+def read_existing(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(files, missing): files as of read_files; missing: each path that isn't there, with format `missing`."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    there = [p for p in paths if (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(h)]
+    gone = spark.createDataFrame([(p, "missing") for p in dict.fromkeys(paths) if p not in there], "path string, format string")
+    if not there:
+        return spark.createDataFrame([], "path string, text string, format string"), gone
+    return read_files(spark, there, glob="*"), gone
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
@@ -84,7 +94,8 @@ def _lines_of(files: DataFrame) -> DataFrame:
 
 
 def _number(line: Column, label: str) -> Column:
-    return F.nullif(F.regexp_extract(line, label + r"\s+([0-9.-]+)\s*m", 1), F.lit(""))
+    # a plain search first: most lines lack most labels
+    return F.when(line.contains(label), F.nullif(F.regexp_extract(line, label + r"\s+([0-9.-]+)\s*m", 1), F.lit("")))
 
 
 def _finish(lines: DataFrame) -> DataFrame:
@@ -157,15 +168,32 @@ def gsi_words(line: Column, compat: bool = False) -> Column:
     return F.filter(words, lambda w: w["index"].isNotNull() & ((w["index"] == 11) | w["value"].rlike("^[0-9]+$")))
 
 
+def _word(line: Column, index: int, value: str = "[0-9]+") -> Column:
+    """Sign and value of the last word of an index on a GSI line, by one expression; null without such a word.
+
+    The index part ends at its first dot. Three digits stand for themselves; two are an index if not exactly one more follows.
+    """
+    head = f"{index}[^.+\\s-]*" if index > 99 else f"{index}(?:[^.+\\s-]{{2,}})?"
+    own = rf"^(?:.*\s)?{head}(?:\.[^+\s-]*)?([+-]{value})(?:\s.*)?$"
+    return F.when(line.contains(str(index)), F.nullif(F.regexp_extract(line, own, 1), F.lit("")))
+
+
 def parse_leica(files: DataFrame, compat: bool = False, wi573: str = "delta") -> tuple[DataFrame, DataFrame]:
     """Leica GSI; columns as of parse_trimble. wi573: `delta` overrides height_diff, `cumulative` sets cumulative_height."""
     if wi573 not in ("delta", "cumulative"):
         raise ValueError(f"unknown meaning of word 573: {wi573!r}")
-    t = _lines_of(files).withColumn("words", gsi_words(F.col("line"), compat))
-    text = lambda i: F.try_element_at(F.filter("words", lambda w: w["index"] == i), F.lit(-1))
-    metres = lambda i: ((F.concat(text(i)["sign"], text(i)["value"])).try_cast("decimal(18,0)") * F.lit("0.00001").cast("decimal(6,5)")).cast(_HEIGHT)
-    p = F.regexp_replace(text(11)["value"], "^0+", "")
-    t = t.select("path", "pos", F.when(text(11).isNotNull(), F.when(p == "", "0").otherwise(p)).alias("point"), *(metres(i).alias(f"w{i}") for i in (32, 331, 332, 335, 336, 573, 574)), text(83).isNotNull().alias("has83"))
+    t = _lines_of(files).filter((F.col("pos") == 0) | F.col("line").rlike("[+-]"))
+    if compat:
+        t = t.withColumn("words", gsi_words(F.col("line"), compat))
+        last = lambda i: F.try_element_at(F.filter("words", lambda w: w["index"] == i), F.lit(-1))
+        text = lambda i: F.concat(last(i)["sign"], last(i)["value"])
+    else:
+        text = lambda i: _word(F.col("line"), i, r"\S*" if i == 11 else "[0-9]+")
+    numbers = (32, 331, 332, 335, 336, 573, 574)
+    t = t.select("path", "pos", text(11).alias("t11"), *(text(i).alias(f"t{i}") for i in numbers), text(83).isNotNull().alias("has83"))
+    metres = lambda i: (F.col(f"t{i}").try_cast("decimal(18,0)") * F.lit("0.00001").cast("decimal(6,5)")).cast(_HEIGHT)
+    p = F.regexp_replace(F.substr("t11", F.lit(2)), "^0+", "")
+    t = t.select("path", "pos", F.when(F.col("t11").isNotNull(), F.when(p == "", "0").otherwise(p)).alias("point"), *(metres(i).alias(f"w{i}") for i in numbers), "has83")
     face = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit(0)), F.col(b)) if compat else F.coalesce(a, b)
     has = lambda a, b: F.col(a).isNotNull() | F.col(b).isNotNull()
     named = F.col("point").isNotNull()
@@ -239,3 +267,20 @@ def load_coordinates(spark: SparkSession, path: str) -> DataFrame:
     num = lambda i: F.btrim(F.try_element_at(p, F.lit(i))).try_cast("double")
     rows = spark.read.text(path).filter(~F.btrim("value").startswith("#") & (F.size(p) >= 3))
     return rows.select(F.btrim(p[0]).alias("point_id"), num(2).alias("lon"), num(3).alias("lat"), F.coalesce(num(4), F.lit(0.0)).alias("height"))
+
+
+def parse_trimble_dat(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(setups, lines) of Trimble files below a path, whatever they are called."""
+    return parse_trimble(read_files(spark, path, glob="*"))
+
+
+def parse_leica_gsi(spark: SparkSession, path: str, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    return parse_leica(read_files(spark, path, glob="*"), compat)
+
+
+def trimble_detect(path: Column, text: Column) -> Column:
+    return detect_format(path, text) == "trimble_dat"
+
+
+def leica_detect(path: Column, text: Column) -> Column:
+    return detect_format(path, text) == "leica_gsi"

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
+
 SETUP = "setup_number int, from_point string, to_point string, backsight_reading double, foresight_reading double, distance_back double, distance_fore double, temperature double, height_diff double, is_used boolean"
 LINE = f"filename string, start_point string, end_point string, method string, date string, instrument_id string, total_distance double, total_height_diff double, is_used boolean, original_direction string, setups array<struct<{SETUP}>>"
 BENCHMARK = "point_id string, height double, order int, description string, easting double, northing double"
@@ -15,7 +19,7 @@ def line_documents(lines: DataFrame, setups: DataFrame) -> DataFrame:
     """lines with their setups nested in order, by line_id; a line is the unit, so no project is gathered whole."""
     of = [f.split()[0] for f in SETUP.split(", ")]
     nested = setups.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct(*of))).alias("setups"))
-    return lines.join(nested, "line_id", "left").withColumn("setups", F.coalesce("setups", F.array().cast(f"array<struct<{SETUP}>>")))
+    return lines.join(nested, "line_id", "left").withColumn("setups", F.coalesce("setups", F.array()).cast(f"array<struct<{SETUP}>>"))
 
 
 def load_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -42,6 +46,49 @@ def save_json(spark: SparkSession, path: str, name: str, lines: DataFrame, setup
     benchmarks.withColumn("project", F.lit(name)).write.mode("overwrite").json(f"{path}/benchmarks", ignoreNullFields=False)
 
 
+def load_saved(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, setups, benchmarks) of a directory that save_json wrote; every column that was saved."""
+    raw = spark.read.json(f"{path}/lines")
+    types = {f.name: f.dataType for f in raw.schema.fields}
+    ln = spark.read.schema(", ".join(f"`{c}` {'array<struct<' + SETUP + '>>' if c == 'setups' else t.simpleString()}" for c, t in types.items())).json(f"{path}/lines")
+    return ln.drop("setups"), ln.select("line_id", F.inline("setups")), spark.read.json(f"{path}/benchmarks")
+
+
+def to_documents(lines: DataFrame, setups: DataFrame) -> DataFrame:
+    """(line_id, document): each line with its setups as one JSON object."""
+    docs = line_documents(lines, setups)
+    return docs.select("line_id", F.to_json(F.struct(*(c for c in docs.columns if c != "line_id")), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def from_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, setups) of `to_documents` rows."""
+    parsed = cut(documents.select("line_id", F.from_json("document", LINE).alias("l")))
+    return parsed.select("line_id", "l.*").drop("setups"), parsed.select("line_id", F.inline("l.setups"))
+
+
+def save_document(path: str, name: str, lines: DataFrame, setups: DataFrame, benchmarks: DataFrame, created: str = "", source_projects: tuple[str, ...] = ()) -> None:
+    """One JSON file of a project, as load_json reads it: its lines stream to the driver's file one at a time, in order of line_id."""
+    head = {"name": name, "is_joint_project": bool(source_projects), "source_projects": list(source_projects), "created": created}
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(json.dumps(head, ensure_ascii=False)[:-1] + ', "lines": [')
+        for k, r in enumerate(to_documents(lines, setups).orderBy("line_id").toLocalIterator(prefetchPartitions=True)):
+            f.write((",\n" if k else "\n") + r.document)
+        f.write('], "benchmarks": {')
+        fields = [c.split()[0] for c in BENCHMARK.split(", ")]
+        own = benchmarks.select("point_id", F.to_json(F.struct(*(c for c in fields if c in benchmarks.columns)), {"ignoreNullFields": "false"}).alias("b"))
+        for k, r in enumerate(own.orderBy("point_id").toLocalIterator(prefetchPartitions=True)):
+            f.write(("," if k else "") + "\n" + json.dumps(r.point_id, ensure_ascii=False) + ": " + r.b)
+        f.write("}}\n")
+
+
+def project_properties(lines: DataFrame, setups: DataFrame, benchmarks: DataFrame, joint: bool = False) -> DataFrame:
+    """One row: type, lines, used lines, benchmarks and distinct points of a project."""
+    ends = lines.select(F.explode(F.array("start_point", "end_point")).alias("p"))
+    points = ends.unionByName(setups.select(F.explode(F.array("from_point", "to_point")).alias("p"))).filter("p is not null").agg(F.countDistinct("p").alias("total_points"))
+    n = lines.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("is_used").alias("n_used"))
+    return n.crossJoin(benchmarks.agg(F.countDistinct("point_id").alias("n_benchmarks"))).crossJoin(points).select(F.lit("Joint Project" if joint else "Single Project").alias("type"), "*")  # one row each
+
+
 def joint_lines(lines: DataFrame) -> DataFrame:
     """Lines of many projects (project_seq, line_seq) concatenated, none dropped; original_project keeps the source."""
     return lines.withColumn("original_project", F.col("project_seq"))

@@ -5,24 +5,29 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from staffline import cli
 from staffline.functions import matrices as X
-from staffline.functions.settings import EngineConfig, class_by_name
+from staffline.functions.settings import EngineConfig, backup, class_by_name
+from staffline.operators import leveling as L
 from staffline.operators import merging as M
 from staffline.operators import network as N
 from staffline.sinks import exports as E
+from staffline.sinks import maps as Q
+from staffline.sinks import reports as P
 from staffline.sources import instruments as I
 from staffline.sources import projects as J
 
-TRIMBLE = """For M5|Adr     4|TO  Start-Line         BFFB     1|                      |
-For M5|Adr     6|KD1  5793MPI      22.0 C  1   1|Rb        0.23395 m   |HD         30.439 m   |
-For M5|Adr     7|KD1        1      22.0 C  1   1|Rf        1.64070 m   |HD         30.773 m   |
-For M5|Adr     8|KD1        1      22.0 C      1|                      |Z        -1.40675 m   |
+# own readings: 71A to 1 is 1.20000 - 0.70000, on to 2 with the same backsight 1.20000 - 1.45500
+TRIMBLE = """For M5|Adr     1|TO  Start-Line         BFFB     1|                      |
+For M5|Adr     2|KD1      71A      18.5 C  1   1|Rb        1.20000 m   |HD         25.100 m   |
+For M5|Adr     3|KD1        1      18.5 C  1   1|Rf        0.70000 m   |HD         25.300 m   |
+For M5|Adr     4|KD1        1      18.5 C      1|                      |Z         0.50000 m   |
 noise
-For M5|Adr     9|KD1  #####  2      21.5 C  1   1|Rf        0.20000 m   |
+For M5|Adr     5|KD1  #####  2      19.0 C  1   1|Rf        1.45500 m   |
 """
-GSI = """110124+0000000003747MPI 83..08+0000000105710200
-110125+0000000003747MPI 32...8+0000000001289347 331.08+0000000000122303
-110126+0000000000000001 32...8+0000000001274136 332.08+0000000000218228"""
+GSI = """110001+0000000000000B12 83..08+0000000010000000
+110002+0000000000000B12 32...8+0000000002010000 331.08+0000000000150000
+110003+0000000000000001 32...8+0000000001990000 332.08+0000000000090000"""
 
 
 def files(spark, *rows):
@@ -30,21 +35,21 @@ def files(spark, *rows):
 
 
 def test_trimble(spark):
-    s, ln = I.parse_trimble(files(spark, ("/x/A.DAT", TRIMBLE), ("/x/empty.DAT", None), ("/x/bad.DAT", TRIMBLE.replace("1.64070", "1.2.3"))))
+    s, ln = I.parse_trimble(files(spark, ("/x/A.DAT", TRIMBLE), ("/x/empty.DAT", None), ("/x/bad.DAT", TRIMBLE.replace("0.70000", "1.2.3"))))
     a, b = s.filter("path like '%A.DAT'").orderBy("setup_number").collect()
-    assert (a.from_point, a.to_point, float(a.height_diff), float(a.dist_back), float(a.dist_fore), float(a.temperature), float(a.cumulative_height)) == ("5793MPI", "1", -1.40675, 30.439, 30.773, 22.0, -1.40675)
-    assert (b.from_point, b.to_point, float(b.backsight), float(b.dist_fore), float(b.temperature), b.cumulative_height) == ("5793MPI", "2", 0.23395, 0.0, 21.5, None)
+    assert (a.from_point, a.to_point, float(a.height_diff), float(a.dist_back), float(a.dist_fore), float(a.temperature), float(a.cumulative_height)) == ("71A", "1", 0.5, 25.1, 25.3, 18.5, 0.5)
+    assert (b.from_point, b.to_point, float(b.backsight), float(b.height_diff), float(b.dist_fore), float(b.temperature), b.cumulative_height) == ("71A", "2", 1.2, -0.255, 0.0, 19.0, None)
     rows = {r.filename: r for r in ln.collect()}
-    assert (rows["A"].start_point, rows["A"].end_point, rows["A"].method, rows["A"].n_setups, rows["A"].status) == ("5793MPI", None, "BFFB", 2, "invalid_endpoint")
+    assert (rows["A"].start_point, rows["A"].end_point, rows["A"].method, rows["A"].n_setups, rows["A"].status) == ("71A", None, "BFFB", 2, "invalid_endpoint")
     assert rows["bad"].status == "parse_error" and rows["empty"].n_setups == 0 and rows["empty"].total_distance == 0
 
 
 def test_leica(spark):
-    f = files(spark, ("/x/3747MPI-9Z_raw.gsi", GSI))
+    f = files(spark, ("/x/B12-9Z_raw.gsi", GSI))
     s, ln = I.parse_leica(f)
     r, one = s.first(), ln.first()
-    assert (r.from_point, r.to_point, float(r.height_diff), float(r.dist_back), float(r.dist_fore)) == ("3747MPI", "1", -0.95925, 12.893, 12.741)
-    assert (one.start_point, one.end_point, one.n_setups) == ("3747MPI", "9Z", 1)
+    assert (r.from_point, r.to_point, float(r.height_diff), float(r.dist_back), float(r.dist_fore)) == ("B12", "1", 0.6, 20.1, 19.9)
+    assert (one.start_point, one.end_point, one.n_setups) == ("B12", "9Z", 1)
     assert float(I.parse_leica(f, compat=True)[0].first().dist_back) == 0
     with pytest.raises(ValueError):
         I.parse_leica(f, wi573="other")
@@ -110,10 +115,11 @@ def test_merge(spark):
 
 
 def test_conditions_agree_with_parameters(spark):
-    rows = [(1, "BM1", "BM2", 10.524, 1500.0), (2, "BM2", "BM3", -5.123, 2000.0), (3, "BM3", "BM1", -5.399, 1800.0)]
+    # the loop closes at 3 mm, shared by 2, 1 and 3 km: -1, -0.5 and -1.5 mm
+    rows = [(1, "Q1", "Q2", 4.125, 2000.0), (2, "Q2", "Q3", -1.75, 1000.0), (3, "Q3", "Q1", -2.372, 3000.0)]
     obs = spark.createDataFrame(rows, OBS)
     v = {r.obs_seq: r.v_mm for r in N.conditional(obs, N.basis_loops(obs)).collect()}
-    assert all(math.isclose(v[i], w, abs_tol=1e-5) for i, w in ((1, -0.56604), (2, -0.75472), (3, -0.67925)))
+    assert all(math.isclose(v[i], w, abs_tol=1e-5) for i, w in ((1, -1.0), (2, -0.5), (3, -1.5)))
     rng = np.random.default_rng(2)
     edges = [(i, f"P{a}", f"P{b}", float(b - a + rng.normal(0, 0.01)), float(rng.integers(200, 3000))) for i, (a, b) in enumerate([(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (1, 3), (3, 4), (4, 0), (0, 1)])]
     obs = spark.createDataFrame(edges, OBS)
@@ -131,14 +137,15 @@ def test_conditions_agree_with_parameters(spark):
 
 
 def test_matrices():
-    r = X.linear_adjustment([[1, 0], [-1, 1], [0, 1]], [0.5, -0.2, 0.3], np.diag([1 / 1.5, 1 / 2, 1 / 3.5]))
-    assert np.allclose(r["x"], [0.5, 0.3]) and np.allclose(r["v"], 0)
+    # x observed as 2 (twice the weight) and 5, y as x + 1: x = 3, y = 4 by hand
+    r = X.linear_adjustment([[1, 0], [1, 0], [-1, 1]], [2, 5, 1], np.diag([2, 1, 1]))
+    assert np.allclose(r["x"], [3, 4]) and np.allclose(r["v"], [1, -2, 0]) and np.isclose(r["sigma0"], np.sqrt(6))
     with pytest.raises(X.InsufficientObservationsError):
         X.linear_adjustment([[1.0]], [1.0], [[1.0]])
     with pytest.raises(X.SingularMatrixError):
         X.linear_adjustment([[1, 1], [1, 1], [1, 1]], [1, 1, 1], np.eye(3))
-    c = X.conditional_adjustment([[1, 1, 1]], [0.002], np.diag([1 / 1.5, 1 / 2, 1 / 1.8]))
-    assert np.allclose(np.array(c["v"]) * 1000, [-0.56604, -0.75472, -0.67925], atol=1e-5)
+    c = X.conditional_adjustment([[1, 1, 1]], [0.006], np.diag([1, 1 / 2, 1 / 3]))
+    assert np.allclose(np.array(c["v"]) * 1000, [-1, -2, -3])
     assert not X.stability(np.eye(20) * 0.1).singular
 
 
@@ -157,6 +164,7 @@ def test_exports(spark, tmp_path):
     E.write_text(E.fteg(obs), str(tmp_path / "a"))
     a, b = (tmp_path / "a").read_text().splitlines()
     assert a == "A1      7            1.50000   1000.   3   0.12   0124           f1 0" and b.endswith("f2 9")
+    assert E.rez_header("p", "now").count("\n") == 6 and "Source File" not in E.rez_header("p", "now", source=False)
     E.write_text(E.fa0(obs, marks), str(tmp_path / "b"))
     assert (tmp_path / "b").read_text().splitlines()[1:3] == ["    A1           100.000", "    7                  ."]
     places = E.schematic_coordinates(marks)
@@ -180,3 +188,119 @@ def test_projects(spark, tmp_path):
     J.log_removed(lines, log, "Excluded", "2024-01-01 00:00:00")
     J.log_removed(lines, log, "Excluded", "2024-01-02 00:00:00")
     assert J.removed_report(spark.read.parquet(log)).first().times == 2
+
+
+def test_saved_projects_come_back(spark, tmp_path):
+    lines = spark.createDataFrame([(i, f"f{i}", "A", "B", "BF", i % 2 == 0) for i in range(5)], "line_id long, filename string, start_point string, end_point string, method string, is_used boolean")
+    setups = spark.createDataFrame([(i, k, "A", "B", 1.5, 1.25, 10.0, 11.0, None, 0.25, True) for i in range(4) for k in (1, 2)], "line_id long, " + J.SETUP)
+    marks = spark.createDataFrame([("A", 5.0, 3), ('B"', 6.0, 3)], "point_id string, height double, order int")
+    J.save_json(spark, str(tmp_path / "d"), "p", lines, setups, marks)
+    ln, st, b = J.load_saved(spark, str(tmp_path / "d"))
+    key = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    assert key(ln, *lines.columns) == key(lines, *lines.columns) and st.count() == 8 and b.count() == 2
+    assert key(st, "line_id", "setup_number", "backsight_reading") == key(setups, "line_id", "setup_number", "backsight_reading")
+    J.save_document(str(tmp_path / "p.json"), "p", lines, setups, marks, "2024", ("x",))
+    doc = json.loads((tmp_path / "p.json").read_text())
+    assert doc["is_joint_project"] and len(doc["lines"]) == 5 and doc["benchmarks"]['B"']["height"] == 6.0
+    flat, st, b = J.project_tables(J.load_json(spark, str(tmp_path / "p.json")))
+    assert [r.is_used for r in flat.orderBy("line_seq").collect()] == [True, False, True, False, True] and st.count() == 8 and b.count() == 2
+    r = J.project_properties(lines, setups, marks, joint=True).first()
+    assert (r.type, r.n_lines, r.n_used, r.n_benchmarks, r.total_points) == ("Joint Project", 5, 3, 2, 2)
+
+
+def test_settings_act_and_are_kept(spark, tmp_path):
+    own = EngineConfig(4, {4: {"max_sight_distance_geometric_m": 12.0, "max_line_length_km": 0}})
+    own.save(str(tmp_path / "s.json"))
+    assert EngineConfig.load(str(tmp_path / "s.json")) == own and EngineConfig.load(str(tmp_path / "none")) == EngineConfig()
+    assert backup(str(tmp_path / "s.json"), "1").endswith(".1.bak") and own.info()["changed_fields"] == 2 and len(own.table(spark).columns) == 20
+    lines = spark.createDataFrame([(1, "B7-A1.DAT", "A1", "B7", "BF"), (2, "A1 to B7.x", "A1", "B7", "BF"), (3, "q", "A1", "5", "BF"), (4, "q", None, "", "BF")], "line_id long, filename string, start_point string, end_point string, method string")
+    setups = spark.createDataFrame([(1, 1, 0.5, 10.0, 13.0), (1, 2, None, 10.0, 10.0), (2, 1, 0.5, 11.0, 11.0)], "line_id long, setup_number int, height_diff double, dist_back double, dist_fore double")
+    marks = spark.createDataFrame([("A1", 1.0), ("B7", 1.4)], "point_id string, height double")
+    got = {r.line_id: r for r in L.validate(lines, setups, config=own, benchmarks=marks).collect()}
+    assert not got[1].naming_ok and got[2].naming_ok and not got[1].sights_ok and got[2].sights_ok and got[1].effective_class == 4
+    assert any("Setup 1 foresight: 13.00 m exceeds limit 12.0 m" == e for e in got[1].errors) and "1 setups without height difference" in got[1].warnings
+    assert not got[2].tolerance_ok and got[2].errors == ["Misclosure 100.00 mm exceeds tolerance 2.10 mm (class H4)"] and got[2].warnings == ["Only 1 setups, 2 expected"]
+    assert got[3].errors == ["End point 5 is a turning point", "No setups"] and got[4].errors == ["End point is empty", "No setups"] and got[4].warnings == ["Start point is no benchmark"]
+    assert {(r.line_id, r.status) for r in L.line_status(L.validate(lines, setups, config=own, benchmarks=marks)).collect()} == {(1, "exceeded_tolerance"), (2, "exceeded_tolerance"), (3, "incomplete"), (4, "incomplete")}
+    assert L.validate(lines.limit(0), setups).count() == 0
+
+
+def test_large_component_and_statuses(spark):
+    n = 224  # a grid of 50,176 points
+    right = spark.range(n * n).filter(f"id % {n} < {n - 1}").selectExpr("id a", "id + 1 b")
+    down = spark.range(n * (n - 1)).selectExpr("id a", f"id + {n} b")
+    e = right.unionByName(down).selectExpr("a * 2 + (b - a > 1)::int obs_seq", "a from_pt", "b to_pt", "sin(b) - sin(a) + pmod(a * 7 + b, 5) * 0.0001 height_diff", "500.0D + pmod(a, 3) * 250 distance")
+    fixed = spark.createDataFrame([(0, 10.0)], "point long, height double")
+    h = N.least_squares(e, fixed)
+    assert h.filter("status = 'OK' and height is not null").count() == n * n and h.filter("mse is null").count() == n * n - 1
+    # normal equations: at each free point the weighted residuals add up to nothing
+    v = N.residuals(e, h).selectExpr("from_pt", "to_pt", "v_mm / km w")
+    net = v.selectExpr("from_pt p", "w").unionAll(v.selectExpr("to_pt p", "-w w")).groupBy("p").agg(F.sum("w").alias("w")).filter("p > 0")
+    assert net.agg(F.max(F.abs("w"))).first()[0] < 1e-4
+    o = spark.createDataFrame([(1, "A", "B", 1.0, 1000.0), (2, "A", "B", 1.2, 1000.0), (3, "C", "D", 1.0, 1000.0), (4, "E", "F", 1.0, 0.0)], OBS)
+    marks = spark.createDataFrame([("A", 0.0, 0.0), ("C", 1.0, 0.0), ("E", 0.0, 0.0), ("F", 1.0, 0.0)], "point string, height double, std_dev double")
+    got = {r.point: r for r in N.least_squares(o, marks).collect()}
+    assert math.isclose(got["B"].height, 1.1) and got["D"].status == "INSUFFICIENT" and got["F"].status == "ALL_FIXED" and got["A"].status == "OK"
+    soft = {r.point: r for r in N.least_squares(o, marks.withColumn("std_dev", F.lit(0.001))).collect()}
+    assert not soft["A"].is_fixed and abs(soft["A"].height) < 1e-9 and math.isclose(soft["B"].height, 1.1)
+    assert N.least_squares(o.limit(0), marks).count() == 0
+    d = {r.component: r for r in N.diagnostics(o, marks).collect()}
+    assert d["A"].rank == 1 and d["A"].meaning == "well conditioned" and d["E"].unknowns == 0
+    s = {r.point: r.height for r in N.simple_adjustment(spark, [{"from": "A", "to": "B", "dh": 1}, {"from": "A", "to": "B", "dh": 2, "dist": 500}], {"A": 0}).collect()}
+    assert math.isclose(s["B"], 5 / 3)
+
+
+def test_conditions_of_many_loops_by_gradients(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = [(i, f"P{a:02}", f"P{b:02}", float(b - a + rng.normal(0, 0.01)), float(rng.integers(200, 3000))) for i, (a, b) in enumerate((a, b) for a in range(9) for b in range(a + 1, 9))]
+    obs = spark.createDataFrame(edges, OBS)
+    loops = N.basis_loops(obs)
+    want = {r.obs_seq: r.v_mm for r in N.conditional(obs, loops).collect()}
+    monkeypatch.setattr(N, "DENSE", 3)
+    got = {r.obs_seq: r.v_mm for r in N.conditional(obs, loops).collect()}
+    assert len(want) == 36 and all(math.isclose(want[i], got[i], abs_tol=1e-6) for i in want)
+    h = {r.point: r.height for r in N.heights_from_adjusted(obs, N.conditional(obs, loops), spark.createDataFrame([("P00", 5.0)], "point string, height double")).collect()}
+    assert abs(h["P08"] - 13) < 0.1
+
+
+def test_reports_maps_and_selection(spark, tmp_path):
+    lines = spark.createDataFrame([(1, "f,1", "A", "B", "BF", True, "valid"), (2, "f2", "B", "C", "BF", True, "naming_error"), (3, "f3", "X", "Y", "BF", True, "valid")], "line_id long, filename string, start_point string, end_point string, method string, is_used boolean, status string")
+    totals = spark.createDataFrame([(1, 2, 100.0, 0.5), (2, 1, 50.0, -0.25)], "line_id long, n_setups int, distance double, height_diff double")
+    text = [r.line for r in P.summary(lines, totals).orderBy("section", "seq").collect()]
+    assert text[0].startswith("Filename") and "✗ naming_error" in text[3] and text[-1] == "Valid: 2, Invalid: 1" and len(text) == 8
+    assert P._cell(F.lit("x")) is not None and P.overview(lines, totals).first().total_distance == 150
+    m = M.find_mergeable_lines(lines, totals).first()
+    assert (m.num_segments, m.start_point, m.end_point, m.total_distance, m.total_setups, m.common_nodes) == (2, "A", "C", 150.0, 3, ["B"]) and m.segments[0].direction == "A→B"
+    setups = spark.createDataFrame([(1, 1, 2.0, 1.0, 10.0, 11.0, 1.0), (2, 1, 5.0, 2.0, 20.0, 21.0, 3.0)], "line_id long, setup_number int, backsight double, foresight double, dist_back double, dist_fore double, height_diff double")
+    assert M.merge_selected_lines(lines, setups, [1, 2])[0].first().filename == "MERGED_A-C"
+    with pytest.raises(ValueError):
+        M.merge_selected_lines(lines, setups, [1, 3])
+    at = spark.createDataFrame([("A", 1.0, 2.0, 0.0), ("B", 3.0, 4.0, None)], "point_id string, lon double, lat double, height double")
+    full = lines.join(totals, "line_id")
+    assert Q.network_package(full, at, str(tmp_path / "map")) == {"lines": "lines.geojson", "points": "points.geojson"}
+    assert len(json.loads((tmp_path / "map" / "lines.geojson").read_text())["features"]) == 1 and (tmp_path / "map" / "lines.qml").read_text().startswith("<!DOCTYPE")
+    compile((tmp_path / "map" / "load_layers.py").read_text(), "script", "exec")
+    with pytest.raises(ValueError):
+        Q.style("area")
+    assert E.layer_query(E.layer_selects(full), "line_id").count("UNION ALL") == 1 and "'f,1'" in E.layer_query(E.layer_selects(full), "line_id")
+    assert E.layer_query(E.point_selects(at.limit(0), at), "point_id").endswith("1 = 0")
+    line = lines.filter("line_id = 1")
+    own = L.adjust_single_line(setups, line, 5.0, 6.5).collect()
+    assert math.isclose(own[-1].height, 6.5)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "A.DAT").write_text(TRIMBLE + "For M5|Adr     6|KD2      B9    |                      |\n")
+    (tmp_path / "B12-9Z.gsi").write_text(GSI)
+    (tmp_path / "x.txt").write_text("hello")
+    paths = [str(tmp_path / n) for n in ("A.DAT", "B12-9Z.gsi", "x.txt", "gone.DAT")]
+    run = lambda *a: (cli.main([*a], spark), capsys.readouterr().out)
+    code, out = run("parse", *paths)
+    assert code == 0 and "skipped (missing)" in out and "skipped (unknown)" in out and "Total files: 2" in out
+    assert "Files: 2" in run("info", *paths)[1] and "Valid: " in run("validate", "--class", "H4", *paths)[1]
+    code, out = run("export", "-f", "all", "-o", str(tmp_path / "p"), *paths)
+    assert code == 0 and all((tmp_path / f"p.{n}").exists() for n in ("fa0", "fteg", "rez")) and "fa1 needs" in out
+    assert run("geojson", "-o", str(tmp_path / "g"), *paths)[0] == 0 and json.loads((tmp_path / "g.geojson").read_text())["type"] == "FeatureCollection"
+    assert run("info", paths[2])[0] == 1
+    s, ln = I.parse_trimble_dat(spark, paths[0])
+    assert s.count() == 2 and ln.first().end_point == "B9" and I.parse_leica_gsi(spark, paths[1])[0].count() == 1
