@@ -7,8 +7,9 @@ word is tracked. Only runs of words whose short n-grams all occur in some item c
 table of those n-grams (numpy, no Python per word) finds the runs that are streamed; the rest of the text
 resets the automaton to its root and needs no steps.
 
-Items are broadcast: their text is measured first, and items beyond `shard_bytes` are dealt into several
-automata, each streamed in its own pass that adds to the hits so far.
+Items are broadcast: their text is measured first, and items beyond `shard_bytes` (about a hundred times as much memory as an
+automaton) are dealt into several automata. Each has its own pass, written before the next one begins, which adds to the hits
+so far; the driver holds the items of one pass.
 
 Defined results: null or word-less text has n_words 0 and no hits; items with null text, no words or a null id
 never match; repeated item ids count once; repeated documents are judged alike; extra columns are kept by
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._automaton import SuffixAutomaton
+from ._spark import stored
 from ._text import NOT_ALNUM, member, run_hash, sieve, slices, split_words
 
 WINDOW = 10
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 2 << 20
 MAX_COVERAGE = 0.5
 
 
@@ -115,28 +117,28 @@ class ItemIndex:
                     s = self.sam.link[s]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _index(items: tuple[tuple[str, str], ...], window: int) -> ItemIndex:
     return ItemIndex(items, window)
 
 
-def _shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> list[tuple[tuple[str, str], ...]]:
+def _shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int):
+    """The number of shards, and a function that fetches one."""
     own = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).dropna()
     size = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-int(size) // shard_bytes))
     shard = F.pmod(F.xxhash64("i"), F.lit(n))
-    return [tuple(sorted((r.i, r.t) for r in own.filter(shard == k).toLocalIterator())) for k in range(n)]
+    return n, lambda k: tuple(sorted((r.i, r.t) for r in own.filter(shard == k).collect()))
 
 
 def _passes(docs: DataFrame, items: DataFrame, window: int, text_col: str, shard_bytes: int, item_id: str, item_text: str, finish, schema: T.StructType, keep: list[str]) -> DataFrame:
     """Streams documents through each shard's automaton; finish(table, words, hit, found) makes the result rows."""
-    shards = _shards(items, item_id, item_text, shard_bytes)
-    bag = [docs.sparkSession.sparkContext.broadcast(s) for s in shards]
+    n, shard = _shards(items, item_id, item_text, shard_bytes)
     many = T.StructType([*docs.select(*keep).schema.fields, T.StructField("__hit", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))])
 
-    def run(k: int, last: bool):
+    def run(bag, k: int, last: bool):
         def f(batches):
-            index = _index(bag[k].value, window)
+            index = _index(bag.value, window)
             for batch in batches:
                 for part in slices(batch, text_col):
                     words = split_words(part.column(text_col), NOT_ALNUM, lower=True)
@@ -156,9 +158,13 @@ def _passes(docs: DataFrame, items: DataFrame, window: int, text_col: str, shard
         return f
 
     out = docs.select(*keep)
-    for k in range(len(shards)):
-        last = k == len(shards) - 1
-        out = out.mapInArrow(run(k, last), schema if last else many)
+    for k in range(n):
+        last = k == n - 1
+        bag = docs.sparkSession.sparkContext.broadcast(shard(k))
+        out = out.mapInArrow(run(bag, k, last), schema if last else many)
+        if not last:
+            out = stored(out, "hits")
+            bag.destroy()
     return out
 
 

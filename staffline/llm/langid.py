@@ -7,10 +7,11 @@ entropy; the language with the least wins, ties to the smaller name.
 
 Automata become one dense transition table in which a failing step is already resolved: it opens a new phrase
 at the root. All blocks of a batch of texts then step through all languages at once (numpy), so the work per byte is a
-few array operations. A text is parsed whole, in blocks of `BLOCK` bytes; each block opens a phrase.
+few array operations. A text is parsed whole, in blocks of `BLOCK` bytes; each block opens a phrase, so a long text has up to one
+phrase a block more than the exact parse, in all languages alike.
 
 What is fitted is a bounded sample of labelled rows (allowed by the task): for each language whole texts of rows in
-seeded hash order up to `train_bytes`. Prediction uses the text alone.
+seeded hash order up to `train_bytes` (see `fit`). Prediction uses the text alone.
 
 Defined results: null text, empty text and text without a letter give `und` with score 0; null labels are not
 learned; with no labelled row at all every text gives `und`; repeated rows are predicted alike; extra columns are kept.
@@ -57,19 +58,19 @@ class Model:
                 s = self.symbols(np.frombuffer(t.encode(), np.uint8)).tolist()
                 sam.add(s)
                 total += len(s)
-            table = np.full((len(sam.next), self.width), -1, np.int64)
+            open_ = len(sam.next)  # one more state: no phrase is open, so any symbol opens one
+            table = np.full((open_ + 1, self.width), -1, np.int64)
             for s, edges in enumerate(sam.next):
                 for c, to in edges.items():
                     table[s, c] = to
-            fresh = np.where(table[0] >= 0, table[0], 0)
+            fresh = np.where(table[0] >= 0, table[0], open_)  # a symbol that the language lacks is a phrase of its own
             value = np.where(table >= 0, (table + base) * self.width * 2, (fresh[None, :] + base) * self.width * 2 + 1)
             value[:, 2] = base * self.width * 2
-            tables.append(value.astype(np.int32 if (base + len(sam.next)) * self.width < 2**29 else np.int64))
-            self.root.append(base * self.width)
+            tables.append(value.astype(np.int32 if (base + open_ + 1) * self.width < 2**29 else np.int64))
+            self.root.append((base + open_) * self.width)
             self.size.append(max(2, total))
-            base += len(sam.next)
+            base += open_ + 1
         self.table = np.concatenate([x.ravel() for x in tables]) if tables else np.zeros(0, np.int32)
-        self.own_rate = np.ones(len(self.langs))
 
     def symbols(self, raw: np.ndarray) -> np.ndarray:
         s = self.symbol[raw]
@@ -97,7 +98,7 @@ class Model:
         active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right")
         k = len(self.langs)
         state = np.repeat(np.asarray(self.root, self.table.dtype)[None, :], len(lo), 0)
-        phrases = np.ones((len(lo), k), np.int32)
+        phrases = np.zeros((len(lo), k), np.int32)
         for t in range(int(length[0]) if len(length) else 0):
             m = int(active[t])
             v = self.table[state[:m] + s[lo[:m] + t][:, None]]
@@ -130,21 +131,41 @@ def _model(sample) -> Model:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN_DOCS) -> tuple[tuple[str, tuple[str, ...]], ...]:
-    """The bounded sample per language: texts of ordinary length first, in seeded hash order of the id.
+    """The bounded sample per language: whole texts in seeded hash order of the id, train_docs at most, as far as they fit.
 
-    At most train_docs rows of a language reach the driver, each of train_bytes at most; longer ones are only fitted
-    where a language has none shorter, and then by their beginning.
+    A text takes a quarter of train_bytes at most, so that some make up the sample; of a language without such texts the
+    shortest of train_docs candidates is learned. Rows without id aren't learned. A threshold on the hash goes first and
+    texts are fetched last, so no task holds more than a small multiple of the bounds; memory goes with the number of languages.
     """
-    size = F.octet_length(text_col)
-    order = Window.partitionBy(lang_col).orderBy(~size.between(300, train_bytes // 4), F.xxhash64(F.lit(SEED), id_col), id_col)
-    top = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(lang_col, F.left(F.col(text_col), F.lit(train_bytes)).alias("t"), F.row_number().over(order).alias("k"))
-    rows: dict[str, list[str]] = {}
+    size, h = F.octet_length(text_col), F.xxhash64(F.lit(SEED), id_col)
+    fine = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
+    counts = fine.groupBy(F.col(lang_col).alias("lang"), (size <= train_bytes // 4).alias("short")).count().collect()
+    n = {lang: {r.short: r["count"] for r in counts if r.lang == lang} for lang in {r.lang for r in counts}}
+    bar = F.lit(-(2**63))
+    for lang, own in sorted(n.items()):
+        near = min(1.0, 4 * train_docs / own.get(True, own.get(False, 1)))  # four times as many as are taken
+        bar = F.when(F.col(lang_col) == lang, F.lit(int(min(2**63 - 1, -(2**63) + near * 2**64)))).otherwise(bar)
+    short = F.when(F.col(lang_col).isin(*(k for k, own in n.items() if own.get(True))), size <= train_bytes // 4).otherwise(F.lit(True)) if n else F.lit(True)
+    order = Window.partitionBy("lang").orderBy("h", "id", "th")
+    top = fine.filter(short & (h <= bar)).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), h.alias("h"), size.alias("b")).withColumn("k", F.row_number().over(order))
+    chosen: dict[str, list] = {}
     held: dict[str, int] = {}
-    for r in sorted(top.filter(F.col("k") <= train_docs).collect(), key=lambda r: (r[0], r.k)):
-        if not held.get(r[0]) or held[r[0]] + len(r.t.encode()) <= train_bytes:
-            rows.setdefault(r[0], []).append(r.t)
-            held[r[0]] = held.get(r[0], 0) + len(r.t.encode())
-    return tuple((k, tuple(v)) for k, v in sorted(rows.items()))
+    found = sorted(top.filter(F.col("k") <= train_docs).collect(), key=lambda r: (r.lang, r.k))
+    for r in found:
+        if n[r.lang].get(True) and held.get(r.lang, 0) + r.b <= train_bytes:
+            chosen.setdefault(r.lang, []).append((r.lang, r.id, r.th))
+            held[r.lang] = held.get(r.lang, 0) + r.b
+    for lang in n:
+        if not n[lang].get(True) and (own := [r for r in found if r.lang == lang]):
+            least = min(own, key=lambda r: (r.b, r.k))
+            chosen[lang] = [(lang, least.id, least.th)]
+    if not chosen:
+        return ()
+    schema = T.StructType([T.StructField("__lang", T.StringType()), T.StructField("__id", labelled.schema[id_col].dataType), T.StructField("__th", T.LongType())])
+    picked = F.broadcast(labelled.sparkSession.createDataFrame([x for own in chosen.values() for x in own], schema))
+    same = (F.col(lang_col) == F.col("__lang")) & (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
+    texts = {(r[0], r[1], r[2]): r[3] for r in fine.join(picked, same).groupBy("__lang", "__id", "__th").agg(F.min(text_col)).collect()}
+    return tuple((lang, tuple(texts[x] for x in own)) for lang, own in sorted(chosen.items()))
 
 
 def identify(docs: DataFrame, sample, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

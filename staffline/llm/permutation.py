@@ -114,7 +114,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
         classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     m = int(min(max(MIN_PIVOTS, np.sqrt(n)), MAX_PIVOTS, n))
-    picked = classes.orderBy(F.xxhash64(F.lit(SEED), "v"), "cls").limit(m).select("v").toArrow()
+    h = F.xxhash64(F.lit(SEED), "v")
+    near = min(1.0, (m + 8 * np.sqrt(m)) / max(1, n))  # a threshold first: no task sorts more than a little over m vectors
+    picked = classes.filter(h <= F.lit(int(min(2**63 - 1, -(2**63) + near * 2**64)))).orderBy(h, "cls").limit(m).select("v").toArrow()
     pivots = _matrix(picked.column("v"), dim)
     bag = spark.sparkContext.broadcast(pivots)
     prefix, posted = min(PREFIX, m), min(POSTED, m)
@@ -163,9 +165,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     if total > 0 and not short.isEmpty():
         more = short
         parts = [pairs]
-        step = 1024
-        for b in range(-(-more.count() // step)):
-            own = more.select("key", "v", F.pmod(F.xxhash64("key"), F.lit(-(-more.count() // step))).alias("b")).filter(F.col("b") == b).toArrow()
+        blocks = -(-more.count() // 1024)
+        for b in range(blocks):
+            own = more.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).select("key", "v").toArrow()
             parts.append(_expand(_scan(classes, own.column("key").to_numpy(), _matrix(own.column("v"), dim), k), classes, k))
         pairs = pairs.join(short.select(F.col("key").alias("query_id")).distinct(), "query_id", "left_anti")
         for p in parts[1:]:

@@ -269,8 +269,10 @@ def keep_one(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_c
 
     An id that occurs with texts of several components keeps a row in each. Of rows with equal id and text one stays.
     """
-    _, placed = _grouped(docs, words, id_col, text_col)
+    prints, placed = _grouped(docs, words, id_col, text_col)
     own = placed.groupBy("root").agg(F.min("least").alias("own")).select(F.col("own.id").alias("__id"), F.col("own.th").alias("__th"))
     tagged = docs.withColumn("__h", F.xxhash64(text_col))
     kept = tagged.join(own, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
-    return kept.dropDuplicates([id_col, "__h"]).select(*docs.columns)
+    if not prints.groupBy("id", "th").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "__h"])
+    return kept.select(*docs.columns)

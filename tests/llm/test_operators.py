@@ -400,6 +400,80 @@ def test_bpe_reuse_joins_and_text_without_blanks(spark):
     assert bpe.encode(df, path).columns == ["doc_id", "text", "ids"] and bpe.decode(bpe.encode(df, path), path).first().text == "a b"
 
 
+def test_langmodel_scores_against_a_plain_recurrence(docs, rows):
+    own = docs.select("doc_id", "text").filter("doc_id < 40")
+    model, counted = langmodel.fit(own)
+    got = {r.doc_id: r for r in langmodel.score(own, (model, counted)).collect()}
+    net, w = model.network(), model.weights
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for i, t, *_ in rows[:40]:
+        h, total = np.zeros(langmodel.HIDDEN), 0.0
+        hashes, _ = langmodel.tokens(pa.array([t]))
+        _, symbols = model.lookup(hashes)
+        for s in symbols.tolist():
+            c = h @ w["c"] + w["cb"]
+            k = s // langmodel.CLASS
+            o = h @ w["o"][k * langmodel.CLASS : (k + 1) * langmodel.CLASS].T + w["ob"][k * langmodel.CLASS : (k + 1) * langmodel.CLASS]
+            total += c[k] - np.log(np.exp(c).sum()) + o[s % langmodel.CLASS] - np.log(np.exp(o).sum())
+            g, a, n = w["x"][s], h @ w["u"], langmodel.HIDDEN
+            z, r = sig(g[:n] + a[:n]), sig(g[n : 2 * n] + a[n : 2 * n])
+            m = np.tanh(g[2 * n :] + r * a[2 * n :])
+            h = m + z * (h - m)
+        assert net.n == model.n_symbols and abs(got[i].score - total / np.log(10)) < 1e-3 * max(1, abs(total)), i
+
+
+def test_queries_on_a_folder(spark, tmp_path, docs, rows):
+    """The opN queries themselves: folds, laws and digests, against their definitions."""
+    rng = random.Random(2)
+    extra = [(1000 + i, " ".join(rng.choices(["plain", "words", "only", "here"], k=30)) + (" vilexword" if i % 3 == 0 else ""), "en", "s", None, 0.5, "x") for i in range(240)]
+    table = docs.unionByName(spark.createDataFrame(extra, DOCS)).select("doc_id", "text", "lang", "source", "n_chars")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1000 + i, 1, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    all_rows = {r[0]: r[1] for r in [*rows, *extra]}
+    crc = lambda i: zlib.crc32(str(i).encode())
+    one = {r.doc_id: r for r in queries.op3_langmodel(spark, str(tmp_path)).collect()}
+    assert all(one[i].held_out == (crc(i) % 7 == 2) for i in all_rows) and len({r.train_tokens for r in one.values()}) == 1
+    five = queries.op5_shard(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in five) == sorted(all_rows) and {r.law for r in five} == {"rows"}
+    for r in five:
+        t = all_rows[r.doc_id]
+        assert r.size == len((t or "").encode()) + 16 and r.text_crc32 == (None if t is None else zlib.crc32(t.encode())) and r.grown_shard is None
+    sizes = Counter(r.shard for r in five)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 40
+    assert all(sorted(r.slot for r in five if r.shard == k) == list(range(n)) for k, n in sizes.items())
+    six = {r.doc_id: r for r in queries.op6_langid(spark, str(tmp_path)).collect()}
+    assert all(six[i].held_out == (crc(i) % 3 == 1) and 0 <= six[i].score <= 1 for i in all_rows)
+    assert six[300].lang_pred == six[302].lang_pred == "und" and sum(six[1000 + i].lang_pred == "en" for i in range(240)) > 230
+    eight = {r.doc_id: r for r in queries.op8_toxicity(spark, str(tmp_path)).collect()}
+    assert all(eight[i].held_out == (crc(i) % 5 == 0) and eight[i].predicted == int(eight[i].score >= 0.5) for i in all_rows)
+    assert sum(eight[1000 + i].predicted == int(i % 3 == 0) for i in range(240)) > 230
+
+
+def test_langid_against_a_plain_parse(spark):
+    rng = random.Random(12)
+    vocab = {"aa": ["ba", "banu", "kori", "tel"], "bb": ["zumi", "xor", "qat", "ilp"]}
+    rows = [(i, " ".join(rng.choices(vocab[g], k=20)), g) for i, g in enumerate(["aa", "bb"] * 10)]
+    sample = langid.fit(spark.createDataFrame([*rows, (None, "ba ba", "aa"), (5, None, "bb")], "doc_id long, text string, lang string"))
+    model = langid.Model(sample)
+
+    def phrases(text, trained):
+        n = k = 0
+        while k < len(text):
+            m = 1
+            while k + m < len(text) and any(text[k : k + m + 1] in t for t in trained):
+                m += 1
+            k, n = k + m, n + 1
+        return n
+
+    spell = lambda t: bytes(model.symbols(np.frombuffer(t.encode(), np.uint8)))
+    texts = [" ".join(rng.choices(vocab["aa"] + vocab["bb"], k=12)) for _ in range(20)]
+    got = model.rates(pa.array(texts))
+    for t, row in zip(texts, got, strict=True):
+        for j, (_, own) in enumerate(sample):
+            trained = [spell(x) for x in own]
+            assert math.isclose(row[j], phrases(spell(t), trained) * math.log2(sum(map(len, trained))) / len(spell(t)))
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
@@ -409,4 +483,6 @@ def test_pipeline(spark, tmp_path, docs):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r.doc_id for r in out}
     assert not ids & {300, 301, 302, 100, 111} and len(ids) == len(out) and out[0].ids is not None
-    assert zlib.crc32(b"1") >= 0
+    kept = {r.doc_id: WORD.findall(r.text) for r in out}
+    windows = Counter(tuple(w[k : k + 20]) for w in kept.values() for k in range(len(w) - 19))
+    assert not windows or max(windows.values()) == 1
