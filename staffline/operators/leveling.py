@@ -79,9 +79,11 @@ def line_info(lines: DataFrame, totals: DataFrame, benchmarks: DataFrame, cls: i
     return j.select("line_id", "start_point", "end_point", F.col("height_diff").alias("computed_dh"), known.alias("known_dh"), known.alias("adjusted_dh"), mm.alias("misclosure_mm"), tol.alias("tolerance_mm"), (F.abs(mm) <= tol).alias("within"), F.when(known.isNull(), "endpoint_mismatch").otherwise("ok").alias("status"))
 
 
-def toggle_direction(lines: DataFrame, setups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines run the other way: ends, sights and order swapped, height differences negated."""
+def toggle_direction(lines: DataFrame, setups: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Lines run the other way: ends, sights and order swapped, height differences negated. compat: order and sights stay."""
     turned = lines.select(*(c for c in lines.columns if c not in ("start_point", "end_point", "method")), F.col("end_point").alias("start_point"), F.col("start_point").alias("end_point"), F.when(F.col("method") == "BF", "FB").when(F.col("method") == "FB", "BF").otherwise(F.col("method")).alias("method"))
+    if compat:
+        return turned, setups.withColumn("height_diff", -F.col("height_diff"))
     n = F.count(F.lit(1)).over(_line())
     back = setups.select("line_id", (n - F.col("setup_number") + 1).cast("int").alias("setup_number"), F.col("foresight").alias("backsight"), F.col("backsight").alias("foresight"), F.col("dist_fore").alias("dist_back"), F.col("dist_back").alias("dist_fore"), (-F.col("height_diff")).alias("height_diff"))
     return turned, back
@@ -133,12 +135,12 @@ def _naming_ok(filename: Column, start: Column, end: Column) -> Column:
     return ~F.coalesce(bad, F.lit(False))
 
 
-def validate(lines: DataFrame, setups: DataFrame, cls: int | None = None, config: EngineConfig | None = None, benchmarks: DataFrame | None = None) -> DataFrame:
+def validate(lines: DataFrame, setups: DataFrame, cls: int | None = None, config: EngineConfig | None = None, benchmarks: DataFrame | None = None, compat: bool = False) -> DataFrame:
     """Rule outcomes per line: endpoint, naming, completeness, length, sights, method, balance, tolerance; `valid` if no rule fails;
     errors and warnings (arrays of texts, in that order).
 
     A line under a class that needs BFFB but run as BF is judged for balance and tolerance under class 4. Naming is judged where
-    lines have a filename, tolerance where benchmarks (point_id, height) know both ends. config: the session's classes.
+    lines have a filename, tolerance where benchmarks (point_id, height) know both ends. config: the session's classes. compat: sights of the first five setups only.
     """
     config = config or EngineConfig()
     cls = config.default_class if cls is None else cls
@@ -148,10 +150,11 @@ def validate(lines: DataFrame, setups: DataFrame, cls: int | None = None, config
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     said = lambda c, *x: F.collect_list(F.when(c, F.struct("setup_number", *(y.alias(f"v{k}") for k, y in enumerate(x)))))
     off = F.abs(back - fore)
+    seen = F.col("setup_number") <= 5 if compat else F.lit(True)
     per = setups.groupBy("line_id").agg(
         F.count(F.lit(1)).alias("n_setups"), count(F.col("height_diff").isNull()).alias("n_missing"), (F.sum(back + fore) / 2).alias("distance"), F.sum("height_diff").cast("double").alias("dh"),
-        (count(back > sight) + count(fore > sight)).alias("n_long_sights"), count(off > of(single)).alias("n_unbalanced"), count(off > of(single, 4)).alias("n_unbalanced_4"), F.abs(F.sum(back - fore)).alias("imbalance"),
-        said((back > sight) | (fore > sight), back, fore).alias("long"), said(off > min(of(single), of(single, 4)), off).alias("uneven"),
+        (count(seen & (back > sight)) + count(seen & (fore > sight))).alias("n_long_sights"), count(off > of(single)).alias("n_unbalanced"), count(off > of(single, 4)).alias("n_unbalanced_4"), F.abs(F.sum(back - fore)).alias("imbalance"),
+        said(seen & ((back > sight) | (fore > sight)), back, fore).alias("long"), said(off > min(of(single), of(single, 4)), off).alias("uneven"),
     )
     t = lines.join(per, "line_id", "left").fillna(0, ["n_setups", "n_missing", "distance", "n_long_sights", "n_unbalanced", "n_unbalanced_4", "imbalance"])
     needs = F.lit(of("required_method") == "BFFB")
@@ -212,6 +215,11 @@ def validate(lines: DataFrame, setups: DataFrame, cls: int | None = None, config
     )
 
 
+def validate_line(lines: DataFrame, setups: DataFrame, line_id: int, cls: int | None = None, config: EngineConfig | None = None) -> DataFrame:
+    """validate of one line."""
+    return validate(lines.filter(F.col("line_id") == line_id), setups.filter(F.col("line_id") == line_id), cls, config)
+
+
 def line_status(validated: DataFrame) -> DataFrame:
     """line_id and the status that validation leaves a line in: the last rule that fails decides."""
     s = F.lit("valid")

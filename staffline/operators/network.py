@@ -286,10 +286,10 @@ def basis_loops(obs: DataFrame) -> DataFrame:
     return j.select("component", F.col("obs_seq").alias("loop_id"), F.explode(legs).alias("x")).select("component", "loop_id", "x.obs_seq", "x.sign")
 
 
-def loop_misclosure(obs: DataFrame, incidence: DataFrame, cls: int = 3) -> DataFrame:
-    """loop_id, n_edges, misclosure_mm (signed sum), distance, tolerance_mm, within, achieved_class."""
+def loop_misclosure(obs: DataFrame, incidence: DataFrame, cls: int = 3, compat: bool = False) -> DataFrame:
+    """loop_id, n_edges, misclosure_mm (signed sum; compat: of the differences as observed), distance, tolerance_mm, within, achieved_class."""
     j = incidence.join(obs.select("obs_seq", F.col("height_diff").cast("double").alias("dh"), F.col("distance").cast("double").alias("m")), "obs_seq")
-    g = j.groupBy("loop_id").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum(F.col("sign") * F.col("dh")) * 1000, 6).alias("misclosure_mm"), F.sum("m").alias("distance"))
+    g = j.groupBy("loop_id").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum(F.col("dh") if compat else F.col("sign") * F.col("dh")) * 1000, 6).alias("misclosure_mm"), F.sum("m").alias("distance"))
     return g.withColumn("tolerance_mm", R.tolerance_new(F.col("distance"), F.lit(cls))).withColumn("within", F.abs("misclosure_mm") <= F.col("tolerance_mm")).withColumn("achieved_class", R.achieved_class(F.col("misclosure_mm"), F.col("distance")))
 
 

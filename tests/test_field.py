@@ -222,7 +222,10 @@ def test_settings_act_and_are_kept(spark, tmp_path):
     assert not got[2].tolerance_ok and got[2].errors == ["Misclosure 100.00 mm exceeds tolerance 2.10 mm (class H4)"] and got[2].warnings == ["Only 1 setups, 2 expected"]
     assert got[3].errors == ["End point 5 is a turning point", "No setups"] and got[4].errors == ["End point is empty", "No setups"] and got[4].warnings == ["Start point is no benchmark"]
     assert {(r.line_id, r.status) for r in L.line_status(L.validate(lines, setups, config=own, benchmarks=marks)).collect()} == {(1, "exceeded_tolerance"), (2, "exceeded_tolerance"), (3, "incomplete"), (4, "incomplete")}
-    assert L.validate(lines.limit(0), setups).count() == 0
+    assert L.validate(lines.limit(0), setups).count() == 0 and L.validate_line(lines, setups, 2).first().line_id == 2
+    long = setups.filter("line_id = 2").withColumn("setup_number", F.lit(6)).withColumn("dist_back", F.lit(99.0))
+    assert not L.validate_line(lines, long, 2).first().sights_ok and L.validate(lines, long, compat=True).filter("line_id = 2").first().sights_ok
+    assert L.toggle_direction(lines, setups, compat=True)[1].filter("line_id = 2").first().height_diff == -0.5
 
 
 def test_large_component_and_statuses(spark):
