@@ -120,5 +120,19 @@ FROM k
 """
 
 
+_OP9 = r"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, CAST(least(len(ws), 10) AS BIGINT) AS n, array_to_string(ws[k:k + least(len(ws), 10) - 1], ' ') AS said
+  FROM i, unnest(range(1, greatest(2, len(ws) - 8))) AS u(k) WHERE len(ws) > 0),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS said FROM d, (SELECT DISTINCT n FROM win) AS z, unnest(range(1, greatest(1, len(ws) - n + 2))) AS u(k)),
+h AS (SELECT doc_id, k, n, item FROM s JOIN win USING (n, said)),
+g AS (SELECT doc_id, len(list_distinct(flatten(list(range(k, k + n))))) AS n_hit, list_sort(list_distinct(list(item))) AS items FROM h GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": _OP1, "op2_substring": _OP2}
+    return {"op1_chat": _OP1, "op2_substring": _OP2, "op9_decontaminate": _OP9}
