@@ -305,7 +305,7 @@ def _per_bucket(docs: DataFrame, window: int, id_col: str, text_col: str, keep:
         order = np.lexsort((found[2], found[1], found[0]))
         found = found[:, order]
         new = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), (np.diff(found[0]) != 0) | (np.diff(found[1]) != 0)]))
-        ends = np.append(new[1:], len(order))
+        ends = np.append(new[1:], len(order))[: len(new)]  # none without marks
         at = {(a, b): found[2:, i:j] for a, b, i, j in zip(found[0, new].tolist(), found[1, new].tolist(), new.tolist(), ends.tolist(), strict=True)}
         out = [finish(s, [at.get(k) for k in zip(s.column("__id").to_pylist(), s.column("__th").to_pylist(), strict=True)]) for s in slices(d, text_col, SLICE)]
         return pa.Table.from_batches(out) if out else pa.table([pa.array([], x.type) for x in _arrow(schema)], names=schema.names)
