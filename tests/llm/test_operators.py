@@ -474,6 +474,73 @@ def test_langid_against_a_plain_parse(spark):
             assert math.isclose(row[j], phrases(spell(t), trained) * math.log2(sum(map(len, trained))) / len(spell(t)))
 
 
+def nasty(spark):
+    """Null ids, repeated rows, ids with several texts, very long and odd texts, and columns named as the operators' own."""
+    rng = random.Random(7)
+    long = " ".join(rng.choices([f"v{i}" for i in range(3000)], k=60_000))
+    part = " ".join(rng.choices([f"v{i}" for i in range(3000)], k=60))
+    texts = [(1, part), (1, part), (1, "other text of one"), (2, part + " tail"), (None, part), (None, None), (3, ""), (4, " \t\n"), (5, long), (6, long + " x"), (7, "\u00e9\u4e2d\U0001f600 " * 50), (8, "\x00 a"), (None, "alone here")]
+    clash = "doc_id long, text string, lang string, n_chars long, shard string, slot string, score string, lang_pred string, ids string, fingerprint string, component_id string, n_tokens string, part string, bucket string, id string, th string, m map<string,int>"
+    return texts, spark.createDataFrame([(i, t, "en", 1, *["z"] * 12, {"a": 1}) for i, t in texts], clash).repartition(3)
+
+
+def test_operators_on_nasty_rows(spark):
+    texts, df = nasty(spark)
+    items = spark.createDataFrame([(1, texts[3][1]), (None, "alone here"), (2, None), (1, "alone")], "item_id long, text string")
+    n = len(texts)
+    cut = substring.dedup(df).collect()
+    want = repeats([(i if i is not None else 2**63 - 1, t) for i, t in dict.fromkeys(texts) if i not in (1, None)])
+    assert len(cut) == n and all(WORD.findall(r.text or "") == want[r.doc_id][3] for r in cut if r.doc_id in (5, 6, 7, 8)) and all(r.m == {"a": 1} for r in cut)
+    assert [len(WORD.findall(r.text or "")) for r in cut if r.doc_id == 2] == [1] and sorted(len(WORD.findall(r.text or "")) for r in cut if r.doc_id is None) == [0, 0, 2]
+    assert sorted(len(WORD.findall(r.text)) for r in cut if r.doc_id == 1) == [4, 60, 60]  # equal rows are one document
+    kept = simhash.keep_one(df, words=5)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, (r.text or "")[:10]) for r in kept.collect())[:2] == [(0, "alone here"), (1, "other text")]
+    assert simhash.near_duplicates(df).count() == n
+    out = shard.shard(df, n_shards=2)
+    assert out.count() == n and dict(out.dtypes)["shard"] == "int" and dict(out.dtypes)["m"] == "map<string,int>"
+    seen = langid.identify(df, langid.fit(df))
+    assert seen.count() == n and dict(seen.dtypes)["score"] == "double" and seen.filter("lang_pred = 'und'").count() == 3
+    assert langid.identify(df, langid.fit(df.withColumn("lang", F.lit(None).cast("string")))).filter("lang_pred <> 'und'").count() == 0
+    scored = langmodel.score(df.select("doc_id", "text", "n_tokens", "part", "id"), langmodel.fit(df)).collect()
+    assert sorted(r.n_tokens for r in scored) == sorted(len(WORD.findall(t or "")) + 1 for _, t in texts) and all(r.n_known == r.n_tokens for r in scored)
+    assert len({(r.doc_id, r.n_tokens, round(r.score, 3)) for r in scored if r.doc_id == 1}) == 2  # repeated rows score alike
+    hit = decontaminate.contamination(df, items).collect()
+    assert len(hit) == n and sum(r.contaminated for r in hit) >= 5 and decontaminate.decontaminate(df, items).columns == df.columns
+    sample, share = toxicity.sample_labelled(df, spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (9, 1)], "doc_id long, toxic int"))
+    assert sample.count() == 2 and toxicity.score(df, toxicity.fit(sample, share=share)).count() == n
+    enc = bpe.encode(df, queries.vocabulary_path())
+    assert dict(enc.dtypes)["ids"] == "array<int>" and {(r.doc_id, r.text) for r in bpe.decode(enc, queries.vocabulary_path()).collect()} == {(i, t or "") for i, t in texts}
+    turns = spark.createDataFrame([(1, 1, "user", "b", 1), (1, 1, "user", "a", 1), (1, 1, "user", "a", 1), (1, None, "system", "x" * 200_000, 1)], "conv_id long, turn long, role string, text string, segments int")
+    r = chat.digests(chat.format_chats(turns)).first()
+    assert r.n_turns == 4 and r.turns_sha256 == sha("system\n" + "x" * 200_000 + "\n" + "user\na\nuser\na\nuser\nb\n")
+
+
+def test_permutation_repeated_ids_and_few_hits(spark):
+    v = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, [0.0, 2.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = {}
+    for r in permutation.search(df, F.col("vec_id") == 1).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(got[1]) == [(1, 2), (2, 3)]
+
+
+def test_pipeline_stages_on_nasty_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    texts, df = nasty(spark)
+    spark.createDataFrame([(1, "no such words at all"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = df
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) <= set(out.columns), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        rows = out.collect()
+        if name == "near":
+            assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 1, 5, 7, 8], rows
+        docs = spark.createDataFrame(rows, out.schema)
+    assert all(r.ids is not None for r in rows)
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
