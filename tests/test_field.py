@@ -307,3 +307,25 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("info", paths[2])[0] == 1
     s, ln = I.parse_trimble_dat(spark, paths[0])
     assert s.count() == 2 and ln.first().end_point == "B9" and I.parse_leica_gsi(spark, paths[1])[0].count() == 1
+
+
+@pytest.mark.parametrize(("name", "ring", "customers"), [
+    ("adjustment_csv", 120985, (250819, 551703, 185285, 184871, 316931, 5435)),
+])
+def test_reports_at_ties_of_rounding(spark, tmp_path, name, ring, customers):
+    """Rings with a height halfway between two multiples of 1e-8 m, or a residual within 1e-8 m of its allowance, against the SQL."""
+    import datetime
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    day = datetime.datetime(1995, 1, 1)
+    rows = [(ring * 6 + k, c, "O", 1.0, day, "5-LOW") for k, c in enumerate(customers)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    for t in ("nation", "lineitem", "customer"):
+        own.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    got = sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()))
+    assert got == sorted(own.execute(entry.oracle_sql()[name]).fetchall())
