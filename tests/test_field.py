@@ -311,6 +311,7 @@ def test_command_line(spark, tmp_path, capsys):
 
 @pytest.mark.parametrize(("name", "ring", "customers"), [
     ("adjustment_txt", 49754, (789508, 686899, 446893, 668022, 380238, 179056)), ("adjustment_csv", 120985, (250819, 551703, 185285, 184871, 316931, 5435)),
+    ("export_fa1", 162775, (102289, 103665, 96168, 101025, 98637, 93307)), ("export_fa1", 747284, (710294, 270587, 87096, 870533, 235759, 276522)),
 ])
 def test_reports_at_ties_of_rounding(spark, tmp_path, name, ring, customers):
     """Rings with a height halfway between two multiples of 1e-8 m, or a residual within 1e-8 m of its allowance, against the SQL."""
