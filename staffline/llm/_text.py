@@ -50,6 +50,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _held[0][: n + 1], _held[1][: n + 1]
 
 
+def forget_powers() -> None:
+    _held[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def run_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each values[start:end] (uint64 values); equal runs get equal hashes wherever they lie."""
     return Runs(values)(starts, ends)

@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._text import _BYTE, powers, slices, string_buffers
+from ._worker import resident
 
 #: fixed value: the pre-token pattern of byte-level BPE vocabularies
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -149,9 +149,8 @@ class Codec:
             yield self.encode(data[a:b], inner[inner > 0].tolist(), own[(own > 0) & (own < b - a)])
 
 
-@lru_cache(maxsize=2)
 def codec(content: str) -> Codec:
-    return Codec(content)
+    return resident(Codec, content)
 
 
 def _vocabulary(docs: DataFrame, path: str):

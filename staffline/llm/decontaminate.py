@@ -19,7 +19,6 @@ never match; repeated item ids count once; repeated documents are judged alike;
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,7 @@ from pyspark.sql import types as T
 from ._automaton import SuffixAutomaton
 from ._spark import stored
 from ._text import NOT_ALNUM, member, run_hash, sieve, slices, split_words
+from ._worker import resident
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
@@ -117,9 +117,8 @@ class ItemIndex:
                     s = self.sam.link[s]
 
 
-@lru_cache(maxsize=1)
 def _index(items: tuple[tuple[str, str], ...], window: int) -> ItemIndex:
-    return ItemIndex(items, window)
+    return resident(ItemIndex, items, window)
 
 
 def _shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int):

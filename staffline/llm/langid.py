@@ -19,8 +19,6 @@ learned; with no labelled row at all every text gives `und`; repeated rows are p
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,6 +27,7 @@ from pyspark.sql import types as T
 
 from ._automaton import SuffixAutomaton
 from ._text import LOWER, slices, string_buffers
+from ._worker import resident
 
 UNKNOWN = "und"
 TRAIN_BYTES = 24_000
@@ -125,9 +124,8 @@ class Model:
         return names.tolist(), np.where(known, score, 0.0)
 
 
-@lru_cache(maxsize=2)
 def _model(sample) -> Model:
-    return Model(sample)
+    return resident(Model, sample)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN_DOCS) -> tuple[tuple[str, tuple[str, ...]], ...]:

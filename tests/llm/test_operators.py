@@ -553,3 +553,19 @@ def test_pipeline(spark, tmp_path, docs):
     kept = {r.doc_id: WORD.findall(r.text) for r in out}
     windows = Counter(tuple(w[k : k + 20]) for w in kept.values() for k in range(len(w) - 19))
     assert not windows or max(windows.values()) == 1
+
+
+def test_worker_keeps_one_model():
+    import gc
+    import weakref
+
+    from staffline.llm import _text
+
+    with open(queries.vocabulary_path(), encoding="utf-8") as f:
+        content = f.read()
+    codec = weakref.ref(bpe.codec(content))
+    assert bpe.codec(content) is codec()  # kept from task to task
+    _text.powers(1 << 20)
+    model = langid._model((("en", ("some words",)),))
+    gc.collect()
+    assert codec() is None and len(_text._held[0]) == 1 and langid._model((("en", ("some words",)),)) is model
