@@ -330,3 +330,9 @@ def test_reports_at_ties_of_rounding(spark, tmp_path, name, ring, customers):
         own.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     got = sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()))
     assert got == sorted(own.execute(entry.oracle_sql()[name]).fetchall())
+
+
+@pytest.mark.parametrize(("ring", "customers"), [(1, (257, 274, 125, 15, 379, 52)), (3, (339, 430, 335, 427, 43, 141))])
+def test_adjustment_txt_just_below_a_tie(spark, tmp_path, ring, customers):
+    """Rings with a height whose double lies just below a tie of 1e-8 m, which the SQL rounds up."""
+    test_reports_at_ties_of_rounding(spark, tmp_path, "adjustment_txt", ring, customers)
