@@ -63,8 +63,8 @@ def op7_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(rest("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
     labels = table(spark, sf_dir, "labels").filter(rest("doc_id", 5) != 0)
-    sample, share = toxicity.sample_labelled(docs.drop("held_out"), labels)
-    model = toxicity.fit(sample, share=share)
+    rows, share = toxicity.labelled_rows(docs.drop("held_out"), labels)
+    model = toxicity.fit(rows, share=share)
     scored = toxicity.score(docs, model, keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

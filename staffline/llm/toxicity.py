@@ -10,11 +10,11 @@ aren't decoded. Each distinct disguise of `STORED` characters at most is decoded
 
 The score is a log-linear model of the restored text: a logistic regression over words, pairs of neighbouring words and runs
 of `GRAMS` bytes (which see word ends), each present or not, with weights that are not negative and L1 and L2 penalties. Only
-features that are significantly more frequent in toxic texts of the sample are candidates, the `MAX_FEATURES` best at most. The
-intercept is moved from the sample's share of toxic rows to that of all labelled rows, so 0.5 is even odds.
+features that are significantly more frequent in toxic texts are candidates, the `MAX_FEATURES` best at most. The
+intercept is moved from the share of toxic rows to that of all labelled ids, so 0.5 is even odds.
 
-Fitted on a bounded sample of labelled rows (allowed by the task): whole texts of `TRAIN_TOXIC` and `TRAIN_CLEAN` ids in seeded
-hash order, as far as they fit into `TRAIN_BYTES`. Whole texts of all documents are scored.
+Fitted on all labelled rows, whole: the words of the character model, the counts of the features, the model and its intercept. Rows
+stay distributed; the driver gets POOL counts at a time and the compact matrix only while it has IN_DRIVER bytes at most.
 
 Defined results: null and empty texts score the intercept; ids may repeat; rows without label aren't learned; with no
 positive label every score is 0; an empty table gives no rows.
@@ -34,11 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import forget, stored
 from ._text import BLANKS, NOT_ALNUM, member, mix, sieve, slices, split_words
 
-TRAIN_TOXIC = 1500
-TRAIN_CLEAN = 4000
-TRAIN_BYTES = 16_000_000
 TRAIN_SLICE = 1 << 16
 SCORE_SLICE = 1 << 20
 GRAMS = (3, 4, 5, 6)
@@ -46,9 +44,14 @@ MIN_TEXTS = 3
 MIN_G2 = 10.0
 MAX_FEATURES = 4000
 LASSO, RIDGE = 0.02, 0.3
-STEPS = 2000
+STEPS = 500
 VOCABULARY = 15_000
-SEED = 11
+PART = 1 << 21
+POOL = 1 << 20
+BLOCK = 1 << 14
+WORDS = 1 << 18
+TASK_BYTES = 64 << 20
+IN_DRIVER = 32 << 20
 STORE = 200_000
 STORED = 64
 _BLANK = pa.scalar(" ", pa.large_string())
@@ -234,6 +237,7 @@ def features(col: pa.Array, own: np.ndarray | None = None, bits: np.ndarray | No
     text = np.full(int(to[-1] + size[-1]) + 8, 0x20, np.uint8)
     text[np.repeat(to - np.cumsum(size) + size, size) + np.arange(int(size.sum()))] = w.buf[np.repeat(w.start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
     doc = np.repeat(w.doc, np.diff(np.concatenate([[0], to[1:] - 1, [len(text)]])))
+    doc[-7:] = -1  # the last row ends with one blank, as the others do
     packed = text.astype(np.uint64)
     for k in (1, 2, 4):  # eight bytes from each place on, the first one lowest
         ahead = np.zeros_like(packed)
@@ -254,124 +258,275 @@ def features(col: pa.Array, own: np.ndarray | None = None, bits: np.ndarray | No
     return key[new], doc[new]
 
 
-def _counted(texts: list[pa.Array], own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all texts and the number of texts that hold each."""
-    bits = sieve(own) if own is not None else None
+def _tally(batches, most: int):
+    """Sorted keys and the number of texts that hold each, in parts of about `most` keys."""
     keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-    for i, part in enumerate(texts):
-        held.append(features(part, own, bits)[0])
-        size += len(held[-1])
-        if size > 1 << 21 or i == len(texts) - 1:  # sorted many at a time
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            keys, inv = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            counts = np.bincount(inv, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            held, size = [], 0
-    return keys, counts
 
-
-def _slices(texts: pa.Array) -> list[pa.Array]:
-    return [t.column(0) for t in slices(pa.table({"t": texts}), "t", TRAIN_SLICE)]
+    def merged():
+        k, n = np.unique(np.concatenate(held), return_counts=True)
+        both, inv = np.unique(np.concatenate([keys, k]), return_inverse=True)
+        return both, np.bincount(inv, np.concatenate([counts, n]), len(both)).astype(np.int64)
+
+    for batch in batches:
+        for part in slices(batch, "text", TRAIN_SLICE):
+            held.append(features(part.column("text"))[0])
+            size += len(held[-1])
+            if size > most:  # sorted many at a time
+                keys, counts = merged()
+                held, size = [], 0
+                if len(keys) > most:
+                    yield keys, counts
+                    keys, counts = keys[:0], counts[:0]
+    keys, counts = merged() if held else (keys, counts)
+    if len(keys):
+        yield keys, counts
+
+
+def _g2(hit, other, n1: int, n0: int) -> np.ndarray:
+    """Log-likelihood ratio of features in hit of n1 toxic and other of n0 clean texts; zero if not more frequent in toxic ones."""
+    hit, other = np.asarray(hit, float), np.asarray(other, float)
+    xlogy = lambda x, y: np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(y, 1e-12)), 0.0)
+    have, n, p = hit + other, n1 + n0, n1 / (n1 + n0)
+    g2 = 2 * (xlogy(hit, have * p) + xlogy(other, have * (1 - p)) + xlogy(n1 - hit, (n - have) * p) + xlogy(n0 - other, (n - have) * (1 - p)))
+    return np.where(hit * n0 > other * n1, np.round(g2, 6), 0.0)  # equal counts tie wherever they stand in an array
 
 
-def candidates(toxic: pa.Array, clean: pa.Array) -> np.ndarray:
-    """Sorted keys of features in at least MIN_TEXTS toxic texts that are more frequent there, by a G2 of MIN_G2 or more.
+def candidates(rows: DataFrame, n1: int, n0: int, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the MAX_FEATURES features with the best G2 over all rows (toxic, text), and the numbers of texts that hold them.
 
-    Features that aren't more frequent than in a first part of the clean texts aren't counted in the others.
+    Features in fewer than MIN_TEXTS toxic texts, not more frequent there or with a G2 below MIN_G2 aren't taken. Toxic texts are
+    counted in full. Clean texts are counted for POOL features at a time, those in most toxic texts first, until the G2 that
+    the next ones would have without any clean text is below that of the MAX_FEATURES best found: no other can be among them.
     """
-    n1, n0 = len(toxic), len(clean)
-    keys, hit = _counted(_slices(toxic), None)
-    keys, hit = keys[hit >= MIN_TEXTS], hit[hit >= MIN_TEXTS]
-    other = np.zeros(len(keys))
-    for share in (64, 8, 1):
-        n = -(-n0 // share)
-        k0, c0 = _counted(_slices(clean[:n]), np.sort(keys * _SPREAD))
-        other = np.zeros(len(keys))
-        other[np.searchsorted(keys, k0)] = c0
-        more = hit * n > other * n1
-        keys, hit, other = keys[more], hit[more], other[more]
-    if not len(keys):
-        return keys
-    xlogy = lambda x, y: np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(y, 1e-12)), 0.0)
-    have, n, p = hit + other, n1 + n0, n1 / (n1 + n0)
-    g2 = 2 * (xlogy(hit, have * p) + xlogy(other, have * (1 - p)) + xlogy(n1 - hit, (n - have) * p) + xlogy(n0 - other, (n - have) * (1 - p)))
-    best = np.lexsort((keys, -g2))[:MAX_FEATURES]
-    return np.sort(keys[best[g2[best] >= MIN_G2]])
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not n1 or not n0:
+        return none
+    most, (toxic, clean) = PART, (rows.filter(F.col("toxic") == y).select("text").coalesce(tasks) for y in (1, 0))
+
+    def count(batches):
+        for keys, n in _tally(batches, most):
+            for at in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)].view(np.int64)), pa.array(n[at : at + (1 << 16)])], names=["key", "n"])
+
+    least = MIN_TEXTS
+    while least <= n1 and _g2(least, 0, n1, n0) < MIN_G2:
+        least += 1
+    hits = stored(toxic.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "toxicity-hits")
+    batches, room = [], 0  # of (least n, greatest n, part, parts)
+    for n, c in sorted(((r["n"], r["count"]) for r in hits.groupBy("n").count().collect()), reverse=True):
+        parts = -(-c // POOL)
+        if parts > 1:
+            batches += [(n, n, i, parts) for i in range(parts)]
+            room = 0
+        elif c <= room:
+            batches[-1] = (n, *batches[-1][1:])
+            room -= c
+        else:
+            batches.append((n, n, 0, 1))
+            room = POOL - c
+    best, held, of, bar = none[0], none[1], np.zeros(0), MIN_G2
+    for lo, hi, part, parts in batches:
+        if _g2(hi, 0, n1, n0) < bar:
+            break
+        got = hits.filter(F.col("n").between(lo, hi) & (F.pmod(F.xxhash64("key"), F.lit(parts)) == part)).toArrow()
+        keys, hit = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
+        order = np.argsort(keys)
+        keys, hit = keys[order], hit[order]
+        other = _held_by(clean, keys)
+        g2 = _g2(hit, other, n1, n0)
+        fine = g2 >= bar
+        best, held, of = (np.concatenate(z) for z in ((best, keys[fine]), (held, (hit + other)[fine]), (of, g2[fine])))
+        top = np.lexsort((best, -of))[:MAX_FEATURES]
+        best, held, of = best[top], held[top], of[top]
+        if len(best) == MAX_FEATURES:
+            bar = of[-1]
+    forget(hits)
+    order = np.argsort(best)
+    return best[order], held[order]
+
+
+def _held_by(texts: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """For each of the sorted keys the number of texts that hold it. Tasks send blocks of counts, which are summed block by block."""
+    bag, most, block = texts.sparkSession.sparkContext.broadcast(keys), PART, BLOCK
+
+    def count(batches):
+        own = bag.value
+        n = np.zeros(len(own), np.int64)
+        for k, c in _tally(batches, most):
+            at = np.minimum(np.searchsorted(own, k), len(own) - 1)
+            ok = own[at] == k
+            n[at[ok]] += c[ok]
+        at = list(range(0, len(n), block))
+        yield pa.RecordBatch.from_arrays([pa.array([a // block for a in at], pa.int32()), pa.array([n[a : a + block].tobytes() for a in at], pa.binary())], names=["block", "n"])
+
+    def total(t: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x, np.int64) for x in t.column("n").to_pylist())
+        return pa.table([t.column("block").slice(0, 1), pa.array([n.tobytes()], pa.binary())], names=["block", "n"])
+
+    out = np.zeros(len(keys), np.int64)
+    for r in texts.mapInArrow(count, "block int, n binary").groupBy("block").applyInArrow(lambda t: total(t), "block int, n binary").collect():
+        n = np.frombuffer(r["n"], np.int64)
+        out[r["block"] * block : r["block"] * block + len(n)] = n
+    bag.unpersist()
+    return out
+
+
+def _matrix(rows: DataFrame, keys: np.ndarray) -> DataFrame:
+    """(y, key, doc) blocks of rows: labels, places of the features that the texts hold, and the texts' numbers in the block."""
+    def run(batches):
+        spread = np.sort(keys * _SPREAD)
+        bits = sieve(spread)
+        for batch in batches:
+            for part in slices(batch, "text", SCORE_SLICE):
+                k, d = features(part.column("text"), spread, bits)
+                cols = part.column("toxic").to_numpy().astype(np.uint8), np.searchsorted(keys, k).astype(np.uint16), d.astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names=["y", "key", "doc"])
+
+    return rows.select("toxic", "text").mapInArrow(run, "y binary, key binary, doc binary")
+
+
+def _loss(blocks, x: np.ndarray) -> np.ndarray:
+    """Logistic loss of blocks under weights and intercept x, followed by its gradient."""
+    w, out = x[:-1], np.zeros(len(x) + 1)
+    for y, key, doc in blocks:
+        y, key, doc = np.frombuffer(y, np.uint8), np.frombuffer(key, np.uint16), np.frombuffer(doc, np.uint32)
+        z = np.bincount(doc, w[key], len(y)) + x[-1]
+        r = 1 / (1 + np.exp(-z)) - y
+        out[0] += (np.logaddexp(0, z) - y * z).sum()
+        out[1:-1] += np.bincount(key, r[doc], len(w))
+        out[-1] += r.sum()
+    return out
 
 
-def learn(keys: np.ndarray, docs: np.ndarray, n_keys: int, labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights (none negative) and intercept of a logistic model of binary features under L1 and L2 penalties.
+def learn(matrix: DataFrame, held: np.ndarray, n1: int, n0: int, tasks: int) -> tuple[np.ndarray, float]:
+    """Weights (none negative) and intercept of a logistic model of binary features under L1 and L2 penalties, over all rows of a matrix.
 
-    keys, docs: places of the features that the texts hold. L2 shares the evidence of features that come together, so each
-    of them counts alone as well. Accelerated proximal gradient steps (FISTA).
+    L2 shares the evidence of features that come together, so each of them counts alone as well. Limited-memory quasi-Newton steps
+    over the weights that can move, projected onto the allowed ones; scaled by the numbers `held` of texts that hold the features. A
+    step sums the gradient over all blocks: where they are, or on the driver if they have IN_DRIVER bytes at most.
     """
-    y, size = labels.astype(float), len(labels)
-    w, b = np.zeros(n_keys), math.log((y.sum() + 0.5) / (size - y.sum() + 0.5))
-    if not len(keys):
-        return w, b
-    # X'X with the intercept's column of ones is at most the diagonal of its row sums, which gives each weight a step of its own
-    held = np.bincount(docs, minlength=size) + 1.0
-    step, stepb = 1 / (np.bincount(keys, held[docs], n_keys) / 4 + RIDGE), 4 / held.sum()
-    z, zb, t = w, b, 1.0
+    size = matrix.agg(F.sum(F.octet_length("y") + F.octet_length("key") + F.octet_length("doc"))).first()[0] or 0
+    local = [tuple(r) for r in matrix.collect()] if size <= IN_DRIVER else None
+    blocks = matrix.coalesce(tasks)
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        def run(batches):
+            out = sum((_loss(zip(*(b.column(c).to_pylist() for c in ("y", "key", "doc")), strict=True), x) for b in batches), np.zeros(len(x) + 1))
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["g"])
+
+        out = _loss(local, x) if local is not None else sum((np.frombuffer(r["g"], float) for r in blocks.mapInArrow(run, "g binary").collect()), np.zeros(len(x) + 1))
+        w, g = x[:-1], out[1:].copy()
+        g[:-1] += LASSO + RIDGE * w
+        return out[0] + LASSO * w.sum() + RIDGE / 2 * (w @ w), g
+
+    p = (n1 + 0.5) / (n1 + n0 + 1)
+    x = np.append(np.zeros(len(held)), math.log(p / (1 - p)))
+    if not len(held):
+        return x[:-1], float(x[-1])
+    scale = 1 / (p * (1 - p) * np.append(held, n1 + n0) + RIDGE)
+    low = np.append(np.zeros(len(held)), -np.inf)
+    f, g = value(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(STEPS):
-        r = 1 / (1 + np.exp(-(np.bincount(docs, z[keys], size) + zb))) - y
-        w2 = np.maximum(z - step * (np.bincount(keys, r[docs], n_keys) + LASSO + RIDGE * z), 0.0)
-        b2 = zb - stepb * r.sum()
-        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        z, zb = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
-        w, b, t = w2, b2, t2
-    return w, b
+        free = (x > low) | (g < 0)
+        q, back = np.where(free, g, 0.0), []
+        for s, y in reversed(past):
+            s, y = s * free, y * free
+            if (sy := s @ y) > 1e-12 * np.sqrt((s @ s) * (y @ y)):
+                a = s @ q / sy
+                q = q - a * y
+                back.append((a, s, y, sy))
+        q = q * scale * (back[0][3] / (back[0][2] @ (scale * back[0][2])) if back else 1.0)
+        for a, s, y, sy in reversed(back):
+            q = q + (a - y @ q / sy) * s
+        d, t = -np.where(free, q, 0.0), 1.0
+        if d @ g >= 0:
+            past, d = [], -np.where(free, scale * g, 0.0)
+        while True:
+            x2 = np.maximum(x + t * d, low)
+            f2, g2 = value(x2)
+            if f2 <= f + 1e-4 * (g @ (x2 - x)) or t < 1e-9:
+                break
+            t /= 2
+        if f2 > f:
+            break
+        past = [*past[-19:], (x2 - x, g2 - g)]
+        done = f - f2 <= 1e-9 * abs(f2)
+        x, f, g = x2, f2, g2
+        if done:
+            break
+    return x[:-1], float(x[-1])
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", share: float | None = None):
-    """labelled: the bounded sample (text, label). share: of label 1 among all labelled rows (default: the sample's).
+    """labelled: rows (text, label), all of which are learned from. share: of label 1 among all labelled ids (default: the rows').
 
     Returns (keys, weights, intercept, word counts of the character model).
     """
-    rows = labelled.select(text_col, label_col).toArrow()
-    texts = rows.column(text_col).combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    texts = (texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)).cast(pa.large_string()).fill_null("")
-    labels = np.asarray(rows.column(label_col).to_pylist(), np.int64) > 0
-    common = _vocabulary(texts, labels)
-    restore = Restorer(CharModel(Counter(dict(common))))
-    more = [restored(t, "t", restore) for t in slices(pa.table({"t": texts}), "t", SCORE_SLICE)]
-    both = pc.binary_join_element_wise(texts, pa.concat_arrays(more) if more else texts, _BLANK)
-    if not labels.any():
+    spark = labelled.sparkSession
+    raw = stored(labelled.select(F.coalesce((F.col(label_col) > 0).cast("int"), F.lit(0)).alias("toxic"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "toxicity-rows")
+    of = raw.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    n1, n0, tasks = int(of["n1"]), int(of["n"] - of["n1"]), max(spark.sparkContext.defaultParallelism, int(of["b"]) // TASK_BYTES)
+    common = _vocabulary(raw)
+    if not n1:
+        forget(raw)
         return np.zeros(0, np.uint64), np.zeros(0), -np.inf, common
-    own = candidates(both.filter(pa.array(labels)), both.filter(pa.array(~labels)))
-    spread = np.sort(own * _SPREAD)
-    bits, at, key, doc = sieve(spread), 0, [], []
-    for part in _slices(both):
-        k, d = features(part, spread, bits)
-        key.append(np.searchsorted(own, k))
-        doc.append(d + at)
-        at += len(part)
-    w, b = learn(np.concatenate(key), np.concatenate(doc), len(own), labels)
-    if share is not None and not labels.all():  # from the sample's share of label 1 to that of all labelled rows
-        b += math.log(share / (1 - share)) - math.log(labels.mean() / (1 - labels.mean())) if 0 < share < 1 else 0.0
+    bag = spark.sparkContext.broadcast(common)
+
+    def restore(batches):
+        own = _restorer(bag.value)
+        for batch in batches:
+            for part in slices(batch, "text", SCORE_SLICE):
+                both = pc.binary_join_element_wise(part.column("text").cast(pa.large_string()), restored(part, "text", own), _BLANK)
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), both.cast(pa.string())], names=["toxic", "text"])
+
+    rows = stored(raw.mapInArrow(restore, "toxic int, text string"), "toxicity-restored")
+    forget(raw)
+    keys, held = candidates(rows, n1, n0, tasks)
+    matrix = stored(_matrix(rows, keys), "toxicity-matrix")
+    forget(rows)
+    w, b = learn(matrix, held, n1, n0, tasks)
+    forget(matrix)
+    if share is not None and n0:  # from the rows' share of label 1 to that of all labelled ids
+        b += math.log(share / (1 - share)) - math.log(n1 / n0) if 0 < share < 1 else 0.0
     some = w > 0
-    return own[some], w[some], b, common
+    return keys[some], w[some], b, common
 
 
-def _vocabulary(texts: pa.Array, labels: np.ndarray) -> tuple[tuple[str, int], ...]:
+def _vocabulary(rows: DataFrame) -> tuple[tuple[str, int], ...]:
     """Words of letters that occur twice or more: the VOCABULARY most frequent ones, and as many again by their surplus in toxic texts."""
-    held: dict[bytes, list[int]] = {}
-    at = 0
-    for t in slices(pa.table({"t": texts}), "t", SCORE_SLICE):
-        w = split_words(t.column(0), NOT_ALNUM, lower=True)
-        _, first, inv, n = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
-        bad = np.bincount(inv, labels[at + w.doc], len(n)).astype(np.int64)
-        for i, k, b in zip(first.tolist(), n.tolist(), bad.tolist(), strict=True):
-            x = held.setdefault(w.bytes_of(i), [0, 0])
-            x[0] += k
-            x[1] += b
-        at += t.num_rows
-    often = sorted((x, n, b) for x, (n, b) in held.items() if n >= 2)
-    share = sum(b for _, _, b in often) / max(1, sum(n for _, n, _ in often))
+    def count(batches):
+        held: dict[bytes, list[int]] = {}
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([x.decode() for x in held], pa.string()), *(pa.array([v[i] for v in held.values()], pa.int64()) for i in (0, 1))], names=["word", "n", "bad"])
+
+        for batch in batches:
+            labels = batch.column("toxic").to_numpy()
+            at = 0
+            for part in slices(batch, "text", SCORE_SLICE):
+                w = split_words(part.column("text"), NOT_ALNUM, lower=True)
+                _, first, inv, n = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
+                bad = np.bincount(inv, labels[at + w.doc], len(n)).astype(np.int64)
+                for i, k, b in zip(first.tolist(), n.tolist(), bad.tolist(), strict=True):
+                    x = held.setdefault(w.bytes_of(i), [0, 0])
+                    x[0] += k
+                    x[1] += b
+                at += part.num_rows
+                if len(held) > WORDS:
+                    yield out()
+                    held = {}
+        yield out()
+
+    often = stored(rows.mapInArrow(count, "word string, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter("n >= 2"), "toxicity-words")
+    total = often.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    usual = F.col("n") * F.lit((total["bad"] or 0) / max(1, total["n"] or 0))
     out = {}
-    for rank in (lambda x: -x[1], lambda x: -(x[2] - x[1] * share) / math.sqrt(x[1] * share + 1)):
-        for x, n, _ in sorted(often, key=rank)[:VOCABULARY]:
-            if (word := x.decode()).isalpha():
-                out[word] = n
+    for rank in (F.col("n").cast("double"), (F.col("bad") - usual) / F.sqrt(usual + 1)):
+        for r in often.orderBy(rank.desc(), "word").limit(VOCABULARY).collect():
+            if r["word"].isalpha():
+                out[r["word"]] = r["n"]
+    forget(often)
     return tuple(sorted(out.items()))
 
 
@@ -380,34 +535,20 @@ def _restorer(common) -> Restorer:
     return Restorer(CharModel(Counter(dict(common))))
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text") -> tuple[DataFrame, float]:
-    """The bounded training sample (id, label, text) and the share of label 1 among all labelled ids.
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text") -> tuple[DataFrame, float]:
+    """All labelled rows (id, label, text) and the share of label 1 among all labelled ids.
 
-    An id with several labels has the greatest. Ids are taken in seeded hash order, TRAIN_TOXIC and TRAIN_CLEAN at most, as long as
-    their whole texts fit into TRAIN_BYTES; an id with several texts has the least. A threshold on the hash goes
-    first, so no task ever holds more than a small multiple of these bounds.
+    An id with several labels has the greatest, an id with several texts the least.
     """
     own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).alias("__y"))
     counts = {bool(r["__y"]): r["count"] for r in own.groupBy("__y").count().collect()}
     n1, n0 = counts.get(True, 0), counts.get(False, 0)
-    h = F.xxhash64(F.lit(SEED), id_col)
-    some = None
-    for y, n, most in ((True, n1, TRAIN_TOXIC), (False, n0, TRAIN_CLEAN)):
-        near = min(1.0, (most + 8 * math.sqrt(most)) / max(1, n))  # the share whose hash is low enough; more than `most` of them, almost surely
-        bar = int(min(2**63 - 1, -(2**63) + near * 2**64))
-        part = own.filter((F.col("__y") == y) & (h <= F.lit(bar))).orderBy(h, id_col).limit(most).select(id_col, "__y", h.alias("__h"))
-        some = part if some is None else some.unionByName(part)
-    found = docs.select(id_col, text_col).join(F.broadcast(some), id_col)
-    sizes = found.groupBy(id_col, "__y", "__h").agg(F.octet_length(F.min(text_col)).alias("b")).orderBy("__h", id_col).collect()
-    held, chosen = 0, []
-    for r in sizes:
-        if held + (r["b"] or 0) <= TRAIN_BYTES:
-            held += r["b"] or 0
-            chosen.append((r[id_col], int(r["__y"])))
-    schema = T.StructType([docs.schema[id_col], T.StructField("__y", T.IntegerType())])
-    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, schema))
-    texts = docs.select(id_col, text_col).join(picked, id_col).groupBy(id_col, "__y").agg(F.min(text_col).alias(text_col))
-    return texts.withColumnRenamed("__y", label_col).orderBy(h, id_col), n1 / max(1, n1 + n0)
+    texts = docs.select(id_col, text_col).join(own, id_col).groupBy(id_col, "__y").agg(F.min(text_col).alias(text_col))
+    return texts.select(id_col, F.col("__y").cast("int").alias(label_col), text_col), n1 / max(1, n1 + n0)
+
+
+#: the name under which callers know it
+sample_labelled = labelled_rows
 
 
 def score(docs: DataFrame, model, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:

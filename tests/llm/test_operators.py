@@ -328,6 +328,57 @@ def test_toxicity_rare_words_and_labels(spark, empty):
     assert toxicity.score(empty, toxicity.fit(none, share=share)).count() == 0
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    """More rows than the former sample held (1,500 toxic and 4,000 clean ids): all are taken, and each counts in the model's share."""
+    docs = spark.range(6600).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("calm"), F.when(F.col("id") % 4 == 0, "vile").otherwise("kind"), F.when(F.col("id") % 660 == 0, "rarest")).alias("text"))
+    rows, share = toxicity.sample_labelled(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    assert rows.count() == 6600 and share == 0.25
+    keys, weights, _, common = toxicity.fit(rows, share=share)
+    assert dict(common) == {"calm": 6600, "vile": 1650, "kind": 4950, "rarest": 10} and len(keys) == len(weights) > 0
+
+
+def test_toxicity_features_do_not_hang_on_neighbours():
+    texts = pa.array(["a vile one", None, "", "two of them", "!", "last"], pa.large_string())
+    keys, rows = toxicity.features(texts)
+    for i in range(len(texts)):
+        assert toxicity.features(texts[i : i + 1])[0].tolist() == keys[rows == i].tolist()
+
+
+def test_toxicity_features_against_all_counts(spark, monkeypatch):
+    """The best features by counts of all rows, found a few at a time; the optimum where blocks stay in tasks and on the driver."""
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in "bdfgk" for b in "aeiou"]
+    texts = [(int(i % 5 == 0), " ".join(rng.choices(words[:15] if i % 5 else words, k=6))) for i in range(300)]
+    rows = spark.createDataFrame(texts, "toxic int, text string").repartition(3)
+    count = {y: Counter() for y in (0, 1)}
+    for y, t in texts:
+        count[y].update(toxicity.features(pa.array([t], pa.large_string()))[0].tolist())
+    n1, n0 = 60, 240
+    g2 = {k: float(toxicity._g2(h, count[0][k], n1, n0)) for k, h in count[1].items() if h >= toxicity.MIN_TEXTS}
+    want = sorted((k for k in g2 if g2[k] >= toxicity.MIN_G2), key=lambda k: (-g2[k], k))
+    monkeypatch.setattr(toxicity, "PART", 500)
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    for pool, most in ((40, 60), (40, 4000), (1 << 20, 60)):
+        monkeypatch.setattr(toxicity, "POOL", pool)
+        monkeypatch.setattr(toxicity, "MAX_FEATURES", most)
+        keys, held = toxicity.candidates(rows, n1, n0, 3)
+        assert keys.tolist() == sorted(want[:most]) and held.tolist() == [count[0][k] + count[1][k] for k in keys.tolist()]
+    matrix = toxicity._matrix(rows, keys)
+    w, b = toxicity.learn(matrix, held, n1, n0, 2)
+    monkeypatch.setattr(toxicity, "IN_DRIVER", 0)
+    w2, b2 = toxicity.learn(matrix, held, n1, n0, 2)
+    assert np.allclose(w, w2, atol=1e-3) and abs(b - b2) < 1e-3
+    # conditions of the optimum, by plain sums: no slope where a weight is positive, none downwards where it is zero
+    at = {k: i for i, k in enumerate(keys.tolist())}
+    slope, free = np.full(len(w), toxicity.LASSO) + toxicity.RIDGE * w, 0.0
+    for y, t in texts:
+        own = [at[k] for k in toxicity.features(pa.array([t], pa.large_string()))[0].tolist() if k in at]
+        r = 1 / (1 + np.exp(-(w[own].sum() + b))) - y
+        slope[own] += r
+        free += r
+    assert abs(free) < 0.1 and np.abs(slope[w > 0]).max() < 0.1 and slope[w == 0].min() > -0.1
+
+
 def test_toxicity_long_and_mixed_disguises(spark):
     words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
     rng = random.Random(6)
