@@ -12,7 +12,7 @@ Training: truncated backpropagation through `SPAN` words with Adagrad, `LANES` t
 texts whose hash is below a threshold (about `WARM_TOKENS` words); then every task goes on from its weights over all training
 texts it reads, whatever their length or id (at most LANES - 1 words at the end of a slice are left over), and the results are
 averaged by words in a tree of fixed fan-in. Scoring carries the state through a whole text in windows of `WINDOW` words,
-many texts side by side.
+longer ones where few texts are left, many texts side by side.
 
 The counts of the most frequent words, `TABLE` at most (those over a threshold that a histogram of counts gives), are broadcast; rarer
 words meet their counts in a shuffle of packed arrays, at most one entry per document and word, and only sums per document come back.
@@ -47,6 +47,7 @@ SPAN = 32
 FAN_IN, LEVELS = 8, 4
 RATE = 0.08
 WINDOW = 32
+BLOCK = 2048  # states whose softmax is taken at a time
 SEED = 17
 SLICE = 1 << 20  # of text whose words are hashed at a time
 GROUP = 1 << 20  # words of texts that run side by side
@@ -81,55 +82,51 @@ class Network:
         self.w["cb"][:] = np.log(mass / mass.sum())
         self.w["ob"][: self.n] = np.log(place[: self.n])
 
-    def step(self, h: np.ndarray, s: np.ndarray):
-        g, a = self.w["x"][s], h @ self.w["u"]
-        k = HIDDEN
-        zr = 1 / (1 + np.exp(-(g[:, : 2 * k] + a[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        m = np.tanh(g[:, 2 * k :] + r * a[:, 2 * k :])
-        return m + z * (h - m), (z, r, m, a[:, 2 * k :])
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """x and u with each gate's weights in one piece: (gate, symbol, to) and (gate, from, to)."""
+        x, u = (np.ascontiguousarray(self.w[k].reshape(-1, 3, HIDDEN).transpose(1, 0, 2)) for k in "xu")
+        return x, u
+
+    @staticmethod
+    def step(gates: tuple[np.ndarray, np.ndarray], h: np.ndarray, s: np.ndarray):
+        """States after symbols s; what backpropagation needs of the step: z, r, m and the candidate's share of h."""
+        a, g = np.matmul(h, gates[1]), gates[0].take(s, 1)
+        g[:2] += a[:2]
+        zr = g[:2]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.divide(1, zr, out=zr)
+        z, r, m = g
+        m += r * a[2]
+        np.tanh(m, out=m)
+        out = h - m
+        out *= z
+        out += m
+        return out, (z, r, m, a[2])
 
     def log_probs(self, h: np.ndarray, s: np.ndarray, grad: dict | None = None):
         """Natural log probability of symbols s after states h; with grad, also the gradient of their negative sum by h."""
-        w, at = self.w, np.arange(len(s))
+        w, n = self.w, len(s)
         cls = np.where(s < self.n, s // CLASS, self.classes - 1)
-        e = h @ w["c"]
-        e += w["cb"]
-        e -= e.max(1, keepdims=True)
-        said = e[at, cls]
-        np.exp(e, out=e)
-        total = e.sum(1)
-        lp = said - np.log(total)
-        dh = None
-        if grad is not None:
-            e /= total[:, None]
-            e[at, cls] -= 1
-            grad["c"] += h.T @ e
-            grad["cb"] += e.sum(0)
-            dh = e @ w["c"].T
+        lp, dh = np.empty(n, np.float32), None if grad is None else np.empty_like(h)
+        for lo in range(0, n, BLOCK):
+            row = slice(lo, lo + BLOCK)
+            lp[row], d = _said(w["c"].T, w["cb"], h[row], cls[row], None if grad is None else (grad["c"].T, grad["cb"]))
+            if grad is not None:
+                dh[row] = d
         order = np.argsort(cls.astype(np.int16), kind="stable")
         cut = np.searchsorted(cls[order], np.arange(self.classes))
         some = order[: cut[-1]]  # sorted by class, so each class is a slice
         x, j = h[some], s[some] % CLASS
-        own_lp, own_dh = np.empty(len(some), np.float32), np.empty_like(x) if grad is not None else None
+        own_lp, own_dh = np.empty(len(some), np.float32), None if grad is None else np.empty_like(x)
         for k in range(self.classes - 1):
-            lo, hi = cut[k], cut[k + 1]
-            if lo == hi:
-                continue
-            own, row, i = slice(k * CLASS, (k + 1) * CLASS), slice(lo, hi), np.arange(hi - lo)
-            e = x[row] @ w["o"][own].T
-            e += w["ob"][own]
-            e -= e.max(1, keepdims=True)
-            said = e[i, j[row]]
-            np.exp(e, out=e)
-            total = e.sum(1)
-            own_lp[row] = said - np.log(total)
-            if grad is not None:
-                e /= total[:, None]
-                e[i, j[row]] -= 1
-                grad["o"][own] += e.T @ x[row]
-                grad["ob"][own] += e.sum(0)
-                own_dh[row] = e @ w["o"][own]
+            own = slice(k * CLASS, (k + 1) * CLASS)
+            for lo in range(cut[k], cut[k + 1], BLOCK):
+                row = slice(lo, min(lo + BLOCK, cut[k + 1]))
+                own_lp[row], d = _said(w["o"][own], w["ob"][own], x[row], j[row], None if grad is None else (grad["o"][own], grad["ob"][own]))
+                if grad is not None:
+                    own_dh[row] = d
         lp[some] += own_lp
         if grad is not None:
             dh[some] += own_dh
@@ -141,66 +138,123 @@ class Network:
         steps = len(s) // lanes
         fresh = np.zeros(len(s), bool)
         fresh[first[first < len(s)]] = True
-        s, fresh = s[: lanes * steps].reshape(lanes, steps), fresh[: lanes * steps].reshape(lanes, steps)
+        s = np.ascontiguousarray(s[: lanes * steps].reshape(lanes, steps).T)
+        fresh = np.ascontiguousarray(fresh[: lanes * steps].reshape(lanes, steps).T)
         h = np.zeros((lanes, HIDDEN), np.float32)
         seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.w.items()}
         for t0 in range(0, steps, SPAN):
-            span = range(t0, min(t0 + SPAN, steps))
-            before, caches, grad = [], [], {k: np.zeros_like(v) for k, v in self.w.items() if k != "x"}
-            for t in span:
-                h = np.where(fresh[:, t, None], np.float32(0), h)
-                before.append(h)
-                h, cache = self.step(h, s[:, t])
+            own, new = s[t0 : t0 + SPAN], [np.flatnonzero(f) for f in fresh[t0 : t0 + SPAN]]
+            gates, caches, grad = self.gates(), [], {k: np.zeros_like(v) for k, v in self.w.items() if k != "x"}
+            before = np.empty((len(own), lanes, HIDDEN), np.float32)
+            for i in range(len(own)):
+                before[i] = h
+                before[i, new[i]] = 0
+                h, cache = self.step(gates, before[i], own[i])
                 caches.append(cache)
-            _, dout = self.log_probs(np.concatenate(before), s[:, t0 : span.stop].T.ravel(), grad)
-            dout = dout.reshape(len(before), lanes, HIDDEN)
-            dh, rows = np.zeros_like(h), []
+            own = own.ravel()
+            _, dout = self.log_probs(before.reshape(-1, HIDDEN), own, grad)
+            dout = dout.reshape(before.shape)
+            back = np.ascontiguousarray(gates[1].transpose(0, 2, 1))
+            dh, d = np.zeros_like(h), np.empty((4, *before.shape), np.float32)  # by z, r, the candidate's share of h, the candidate
             for i in range(len(before) - 1, -1, -1):
                 z, r, m, a = caches[i]
-                dm = dh * (1 - z) * (1 - m * m)
-                dg = np.concatenate([dh * (before[i] - m) * z * (1 - z), dm * a * r * (1 - r), dm], 1)
-                da = dg.copy()
-                da[:, 2 * HIDDEN :] *= r
-                rows.append(dg)
-                grad["u"] += before[i].T @ da
-                dh = dh * z + da @ self.w["u"].T + dout[i]
-                dh[fresh[:, t0 + i]] = 0  # a text's first state is fixed
-            at = s[:, t0 : span.stop].T[::-1].ravel()
-            order = np.argsort(at, kind="stable")
-            own, lo = np.unique(at[order], return_index=True)
-            g = np.clip(np.add.reduceat(np.concatenate(rows)[order], lo) / np.float32(lanes), -1, 1)
-            seen["x"][own] += g * g
-            self.w["x"][own] -= rate * g / np.sqrt(seen["x"][own])  # rows of absent symbols have no gradient
+                dz, dr, da, dm = d[:, i]
+                rest = 1 - z
+                np.multiply(m, m, out=dm)
+                np.subtract(1, dm, out=dm)
+                dm *= rest
+                dm *= dh
+                np.multiply(dm, r, out=da)
+                np.subtract(1, r, out=dr)
+                dr *= da
+                dr *= a
+                dh *= z
+                np.subtract(before[i], m, out=dz)
+                dz *= rest
+                dz *= dh
+                by = np.matmul(d[:3, i], back)
+                dh += by[0]
+                dh += by[1]
+                dh += by[2]
+                dh += dout[i]
+                dh[new[i]] = 0  # a text's first state is fixed
+            d = d.reshape(4, -1, HIDDEN)
+            grad["u"] = np.concatenate(np.matmul(before.reshape(-1, HIDDEN).T, d[:3]), 1)
+            g, there = self._by_symbol(d, own)
+            g /= np.float32(lanes)
+            np.clip(g, -1, 1, out=g)
+            x = seen["x"][there] + g * g
+            seen["x"][there] = x
+            self.w["x"][there] -= rate * g / np.sqrt(x)  # rows of absent symbols have no gradient
             for k, g in grad.items():
                 g /= lanes
                 np.clip(g, -1, 1, out=g)
                 seen[k] += g * g
                 self.w[k] -= rate * g / np.sqrt(seen[k])
 
+    def _by_symbol(self, d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the gates' gradients d over the places of each symbol, and those symbols; the rest, about half of all places, as a product."""
+        other = s == self.n
+        at = np.flatnonzero(~other)
+        at = at[np.argsort(s[at], kind="stable")]
+        there = s[at]
+        lo = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), there[1:] != there[:-1]]))
+        rows = np.empty((len(at), 3 * HIDDEN), np.float32)
+        for k, own in enumerate((d[0], d[1], d[3])):
+            rows[:, k * HIDDEN : (k + 1) * HIDDEN] = own.take(at, 0)
+        sums, there = (np.add.reduceat(rows, lo) if len(lo) else rows), there[lo]
+        if len(at) < len(s):
+            sums = np.concatenate([sums, np.matmul(other.astype(np.float32), d)[[0, 1, 3]].reshape(1, -1)])
+            there = np.append(there, there.dtype.type(self.n))
+        return sums, there
+
     def text_scores(self, s: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log probability of each whole text."""
         size = np.diff(first)
         order = np.argsort(-size, kind="stable")
         lo, size = first[:-1][order], size[order]
-        out = np.zeros(len(order))
+        out, gates = np.zeros(len(order)), self.gates()
         h = np.zeros((len(order), HIDDEN), np.float32)
-        for t0 in range(0, int(size[0]) if len(size) else 0, WINDOW):
-            states, rows, said = [], [], []
-            for t in range(t0, min(t0 + WINDOW, int(size[0]))):
-                m = int(np.searchsorted(-size, -t, side="left"))  # texts longer than t
-                own = s[lo[:m] + t]
-                states.append(h[:m])
-                rows.append(np.arange(m))
-                said.append(own)
-                h, _ = self.step(h[:m], own)
-            lp, _ = self.log_probs(np.concatenate(states), np.concatenate(said))
-            out[: len(states[0])] += np.bincount(np.concatenate(rows), lp, len(states[0]))
-            del states, rows, said, lp
+        longest = int(size[0]) if len(size) else 0
+        alive = np.searchsorted(-size, -np.arange(longest), side="left").tolist()  # texts longer than t
+        states, rows, said, held = [], [], [], 0
+        for t, m in enumerate(alive):
+            own = s[lo[:m] + t]
+            states.append(h[:m])
+            rows.append(np.arange(m))
+            said.append(own)
+            held += m
+            h, _ = self.step(gates, h[:m], own)
+            if t + 1 == longest or len(said) >= WINDOW and held >= 4 * BLOCK:
+                lp, _ = self.log_probs(np.concatenate(states), np.concatenate(said))
+                out[: len(states[0])] += np.bincount(np.concatenate(rows), lp, len(states[0]))
+                states, rows, said, held = [], [], [], 0
+                del lp
         back = np.empty(len(order))
         back[order] = out
         return back
 
 
+def _said(w: np.ndarray, b: np.ndarray, h: np.ndarray, s: np.ndarray, grad: tuple | None):
+    """Log of the softmax of w h + b at s, a column for each state; with grad (sums by w and by b), also the gradient by h."""
+    at = np.arange(len(s))
+    e = w @ h.T
+    e += b[:, None]
+    e -= e.max(0)
+    lp = e[s, at]
+    np.exp(e, out=e)
+    total = e.sum(0)
+    lp -= np.log(total)
+    if grad is None:
+        return lp, None
+    e /= total
+    e[s, at] -= 1
+    own, bias = grad
+    own += e @ h
+    bias += e.sum(1)
+    return lp, e.T @ w
+
+
 @dataclass
 class Model:
     keys: np.ndarray  # the most frequent words' hashes, sorted
@@ -212,13 +266,24 @@ class Model:
     parts: int
     weights: dict | None = None
     trained: int = 0  # words of the last training pass
+    begin: np.ndarray | None = None  # the first key of each value of the leading bits; made where it is used
 
     def lookup(self, h: np.ndarray):
         """(place in the table or -1, symbol) of each word hash."""
         if not len(self.keys):
             return np.full(len(h), -1), np.full(len(h), self.n_symbols)
-        pos = np.searchsorted(self.keys, h)
-        pos[pos == len(self.keys)] = 0
+        bits = min(24, len(self.keys).bit_length() + 1)
+        shift = _U(64 - bits)
+        if self.begin is None:  # keys are spread evenly, so those of equal leading bits are few
+            self.begin = np.searchsorted(self.keys, np.arange(1 << bits, dtype=_U) << shift)
+        pos = self.begin[h >> shift]
+        last = len(self.keys) - 1
+        np.minimum(pos, last, out=pos)
+        at = np.flatnonzero(self.keys[pos] < h)
+        while len(at):
+            at = at[pos[at] < last]
+            pos[at] += 1
+            at = at[self.keys[pos[at]] < h[at]]
         ok = self.keys[pos] == h
         return np.where(ok, pos, -1), np.where(ok, self.symbol[pos], self.n_symbols)
 

@@ -473,6 +473,84 @@ def test_langmodel_scores_against_a_plain_recurrence(docs, rows):
         assert net.n == model.n_symbols and abs(got[i].score - total / np.log(10)) < 1e-3 * max(1, abs(total)), i
 
 
+def test_langmodel_trains_as_plain_backpropagation(monkeypatch):
+    monkeypatch.setattr(langmodel, "LANES", 4)
+    rng, k, span, rate = np.random.default_rng(4), langmodel.HIDDEN, langmodel.SPAN, 0.05
+    net = langmodel.Network(100)
+    p = {key: v.astype(np.float64) for key, v in net.w.items()}
+    s = np.where(rng.random(330) < 0.4, 100, rng.integers(0, 90, 330)).astype(np.int16)  # 100 is the rest
+    first = np.sort(rng.choice(330, 30, replace=False))
+    net.train(s, first, rate)
+    steps, seen, h = 330 // 4, {key: np.full(v.shape, 1e-2) for key, v in p.items()}, np.zeros((4, k))
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for t0 in range(0, steps, span):
+        grad, end = {key: np.zeros_like(v) for key, v in p.items()}, min(t0 + span, steps)
+        for lane in range(4):
+            kept, x, dh = [], h[lane].copy(), np.zeros(k)
+            for i in range(lane * steps + t0, lane * steps + end):
+                x = np.zeros(k) if i in first else x
+                g, a = p["x"][s[i]], x @ p["u"]
+                z, r = sig(g[:k] + a[:k]), sig(g[k : 2 * k] + a[k : 2 * k])
+                m = np.tanh(g[2 * k :] + r * a[2 * k :])
+                kept.append((i, x, z, r, m, a[2 * k :]))
+                x = m + z * (x - m)
+            h[lane] = x
+            for i, x, z, r, m, a in reversed(kept):
+                dm = dh * (1 - z) * (1 - m * m)
+                dg = np.concatenate([dh * (x - m) * z * (1 - z), dm * a * r * (1 - r), dm])
+                da = dg * np.concatenate([np.ones(2 * k), r])
+                grad["x"][s[i]] += dg
+                grad["u"] += np.outer(x, da)
+                dh = dh * z + p["u"] @ da
+                cls = 2 if s[i] == 100 else s[i] // 64
+                e = soft(x @ p["c"] + p["cb"]) - (np.arange(3) == cls)
+                grad["c"] += np.outer(x, e)
+                grad["cb"] += e
+                dh += p["c"] @ e
+                if cls < 2:
+                    own = slice(cls * 64, cls * 64 + 64)
+                    e = soft(p["o"][own] @ x + p["ob"][own]) - (np.arange(64) == s[i] % 64)
+                    grad["o"][own] += np.outer(e, x)
+                    grad["ob"][own] += e
+                    dh += e @ p["o"][own]
+                if i in first:
+                    dh[:] = 0
+        for key, g in grad.items():
+            g = np.clip(g / 4, -1, 1)
+            seen[key] += g * g
+            p[key] -= rate * g / np.sqrt(seen[key])
+    assert all(np.allclose(net.w[key], p[key], atol=2e-4) for key in p), {key: np.abs(net.w[key] - p[key]).max() for key in p}
+    assert np.abs(net.w["x"] - langmodel.Network(100).w["x"]).max() > 0.01
+
+
+def test_langmodel_few_softmaxes_for_few_texts(monkeypatch):
+    """One long text among short ones is scored in long windows; before, in one softmax for every 32 words."""
+    rng, net, calls = np.random.default_rng(5), langmodel.Network(100), []
+    sizes = np.array([3, 6000, 1, 40, 7, 33])
+    s, first = rng.integers(0, 101, sizes.sum()), np.concatenate([[0], np.cumsum(sizes)])
+    plain = langmodel.Network.log_probs
+    monkeypatch.setattr(langmodel.Network, "log_probs", lambda *a: calls.append(len(a[2])) or plain(*a))
+    got = net.text_scores(s, first)
+    assert sum(calls) == sizes.sum() and len(calls) <= 3
+    alone = [net.text_scores(s[lo:hi], np.array([0, hi - lo]))[0] for lo, hi in zip(first, first[1:])]
+    assert np.allclose(got, alone, rtol=1e-5) and len(net.text_scores(s[:0], np.zeros(1, int))) == 0
+
+
+def test_langmodel_lookup():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 50, 3000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        if n == 50:
+            keys = np.unique(np.concatenate([keys, np.arange(40, dtype=np.uint64), np.array([2**64 - 1], np.uint64)]))  # many of the same leading bits
+        model = langmodel.Model(keys, np.ones(len(keys)), np.arange(len(keys)) % 7, 7, 1, 1, 1)
+        h = np.concatenate([keys, keys + np.uint64(1), keys - np.uint64(1), rng.integers(0, 2**64, 500, dtype=np.uint64)])
+        place = {key: i for i, key in enumerate(keys.tolist())}
+        want = [place.get(x, -1) for x in h.tolist()]
+        pos, symbol = model.lookup(h)
+        assert pos.tolist() == want and symbol.tolist() == [x % 7 if x >= 0 else 7 for x in want]
+
+
 def test_queries_on_a_folder(spark, tmp_path, docs, rows):
     """The opN queries themselves: folds, laws and digests, against their definitions."""
     rng = random.Random(2)
